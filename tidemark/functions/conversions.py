@@ -19,12 +19,14 @@ NULL_TEXT = "NULL"
 FALLBACK_DATE = "1900-01-01"
 EXCLUDED_METHODS = frozenset({"SKIP", "UUID_GENERATE"})
 
-_EDGE_SPACE = r"^\s+|\s+$"
+# Fixed value: the characters that count as white space at the ends of a field.
+WHITE_SPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+               "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip(value: Column) -> Column:
-    """Remove any white space at both ends (SQL trim removes blanks only)."""
-    return F.regexp_replace(value, _EDGE_SPACE, "")
+    """Remove any white space at both ends (SQL trim alone removes blanks only)."""
+    return F.trim(value, F.lit(WHITE_SPACE))
 
 
 def is_blank(value: Column) -> Column:

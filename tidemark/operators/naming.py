@@ -60,7 +60,8 @@ def name_columns(rows: DataFrame, mappings: list[Mapping], position: str = "rank
         at = i if position == "rank" else rule.order - 1
         fields.append(strip(F.get(data, F.lit(at))).alias(rule.src))
     header = [c for c in rows.columns if c != "data"]
-    return rows_of(rows, main).select(*header, *fields)
+    # inline() of one struct: each field is stripped once, however often it is read
+    return rows_of(rows, main).select(*header, F.inline(F.array(F.struct(*fields))))
 
 
 def primary_fields(maps: DataFrame, rules: DataFrame) -> DataFrame:

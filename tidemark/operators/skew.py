@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 4000
-TRACKED_KEYS = 200_000
+TRACKED_KEYS = 50_000
 MIN_TASK_ROWS = 1_000_000
 MAX_CHUNKS = 1024
 

@@ -68,16 +68,20 @@ def target_rows(named: DataFrame, mapping: Mapping, spec: TableSpec | None = Non
     """
     is_delete = F.col("op") == "D"
     rules = project.written_rules(mapping)
-    keys = {c: col for c, col in zip(mapping.dst_pks, project.key_columns(named, mapping))}
+    keys = dict(zip(mapping.dst_pks, project.key_columns(named, mapping)))
+    values = [project.converted(named, r).alias(f"_v{i}") for i, r in enumerate(rules)]
+    typed_keys = [k.alias(f"_k{i}") for i, k in enumerate(keys.values())]
+    held = named.select(*keep, is_delete.alias("_delete"),
+                        F.inline(F.array(F.struct(*values, *typed_keys))))
+    key_at = {name: F.col(f"_k{i}") for i, name in enumerate(keys)}
     cols, problems = [], []
-    for rule in rules:
-        value = project.converted(named, rule)
-        cols.append((keys[rule.dst] if rule.dst in keys else cast_to_target(value, rule.dst_type))
-                    .alias(rule.dst))
+    for i, rule in enumerate(rules):
+        value = F.col(f"_v{i}")
+        cols.append(key_at.get(rule.dst, cast_to_target(value, rule.dst_type)).alias(rule.dst))
         for p in _column_problems(value, rule.dst, rule.dst_type, spec.column(rule.dst) if spec else None):
-            problems.append(p if rule.dst in keys else F.when(~is_delete, p))
+            problems.append(p if rule.dst in keys else F.when(~F.col("_delete"), p))
     errors = F.array_compact(F.array(*problems)).alias("errors")
-    return named.select(*keep, *cols, errors)
+    return held.select(*keep, F.inline(F.array(F.struct(*cols, errors))))
 
 
 def invalid_rows(rows: DataFrame) -> DataFrame:

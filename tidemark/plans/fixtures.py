@@ -7,8 +7,7 @@ of mapping metadata.  Everything here runs over whole tables.
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,16 +104,22 @@ def targets() -> dict[str, Target]:
     }
 
 
+def _literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small local table: its size is known to the planner, so joins broadcast it."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, r)) for r in rows]), schema)
+
+
 def seed_maps(spark: SparkSession) -> DataFrame:
     rows = [(m, 1, 2, "insurance", "insurance", s, t, sp, tp, True, "BOTH", o)
             for m, s, t, sp, tp, o in SEED_MAPS]
     m, s, t, sp, tp, o = ACCOUNT_MAP
-    return spark.createDataFrame([*rows, (m, 1, 2, "app", "app", s, t, sp, tp, True, "CDC", o)], MAPS_SCHEMA)
+    return _literal(spark, [*rows, (m, 1, 2, "app", "app", s, t, sp, tp, True, "CDC", o)], MAPS_SCHEMA)
 
 
 def seed_rules(spark: SparkSession) -> DataFrame:
     rows = [(i, *r) for i, r in enumerate([*SEED_RULES, *ACCOUNT_RULES], start=1)]
-    return spark.createDataFrame(rows, RULES_SCHEMA)
+    return _literal(spark, rows, RULES_SCHEMA)
 
 
 def mappings(spark: SparkSession, stream: str | None = "CDC") -> list[Mapping]:
@@ -200,20 +205,19 @@ def policy_src(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def claim_src(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
-    k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    ref = k * 8 + n
-    grouped = li.groupBy(k, n).agg(
-        F.max("l_extendedprice").alias("price"), F.max("l_returnflag").alias("rf"),
-        F.max("l_shipdate").alias("ship"))
-    return grouped.select(
-        (2000000 + 2 * ref).cast("bigint").alias("claim_id"), _num("CLM-", ref, 15).alias("claim_num"),
-        (1000000 + 2 * k).cast("bigint").alias("policy_id"), _num("POL-", k, 15).alias("policy_num"),
-        F.col("price").cast("decimal(12,2)").alias("claim_amount"),
-        F.when(F.col("rf") == "A", "APPROVED").when(F.col("rf") == "N", "OPEN")
-        .otherwise("REJECTED").alias("claim_status"),
-        F.when(n % 5 != 0, F.col("ship").cast("date")).alias("incident_date"),
-        F.col("ship").alias("last_modified"), F.when(k % 10 == 3, "CLOUD").alias("datasync_flag"))
+    """Order lines as claims; several lines may share a number, so they are grouped."""
+    grouped = (table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber")
+               .agg(F.max("l_extendedprice").alias("price"), F.max(F.ascii("l_returnflag")).alias("rf"),
+                    F.max("l_shipdate").alias("last_modified")))
+    return grouped.selectExpr(
+        "cast(2000000 + 2 * (l_orderkey * 8 + l_linenumber) as bigint) as claim_id",
+        "'CLM-' || lpad(cast(l_orderkey * 8 + l_linenumber as string), 15, '0') as claim_num",
+        "cast(1000000 + 2 * l_orderkey as bigint) as policy_id",
+        "'POL-' || lpad(cast(l_orderkey as string), 15, '0') as policy_num",
+        "cast(price as decimal(12,2)) as claim_amount",
+        "case chr(rf) when 'A' then 'APPROVED' when 'N' then 'OPEN' else 'REJECTED' end as claim_status",
+        "case when l_linenumber % 5 <> 0 then cast(last_modified as date) end as incident_date",
+        "last_modified", "case when l_orderkey % 10 = 3 then 'CLOUD' end as datasync_flag")
 
 
 def policy_tgt(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,68 +261,71 @@ def change_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- change-file lines ----------------------------------------------------------
+def _line(number: int | str, parts: list[str], when: str | None = None) -> str:
+    """SQL for one change line, or null where ``when`` does not hold."""
+    row = f"named_struct('line_num', cast({number} as int), 'line', concat_ws('|', {', '.join(parts)}))"
+    return row if when is None else f"case when {when} then {row} end"
+
+
+def _lines(df: DataFrame, rows: list[str]) -> DataFrame:
+    return df.selectExpr("k", f"inline(array_compact(array({', '.join(rows)})))")
+
+
 def cdc_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """One transaction per order: (file_name, line_num, line), plus its order key."""
+    """One transaction per order: (file_name, k, line_num, line).
+
+    A marker, the policy insert, its claims, then now and then a short line, a
+    table without map, a line without table, a cloud or legacy update with a
+    quoted name, a ragged one, one that breaks every check, deletes of claims
+    and policies, a claim without policy; a marker again.
+    """
     o = (table(spark, sf, "orders")
          .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-         .select(F.col("o_orderkey").alias("k"), F.col("c_name").alias("holder"),
-                 F.lower("c_mktsegment").alias("kind"), F.col("o_orderdate").cast("date").alias("day"),
-                 F.col("o_totalprice").cast("decimal(12,2)").alias("price")))
-    k = F.col("k")
-    text = k.cast("string")
-    pid = (1000000 + 2 * k).cast("string")
-    num = _num("POL-", k, 15)
-    day = F.col("day").cast("string")
-    end = F.date_add("day", 365).cast("string")
-    stamp = F.concat(day, F.lit(" 00:00:00"))
-
-    def joined(*parts: Column | str) -> Column:
-        return F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    def line(df: DataFrame, number: Column | int, value: Column) -> DataFrame:
-        n = F.lit(number) if isinstance(number, int) else number
-        return df.select("k", n.cast("int").alias("line_num"), value.alias("line"))
-
-    begin = line(o, 0, joined("B", text, "1", "ts"))
-    insert = line(o, 1, joined(
-        "I", "policy", "insurance", stamp, pid, num, F.concat(F.lit("  "), F.col("holder"), F.lit(" ")),
-        F.col("kind"), day, end, F.when(k % 11 == 0, "NULL").otherwise(F.col("price").cast("string")),
-        stamp, stamp, F.when(k % 10 == 3, "CLOUD").otherwise("")))
-    moved = F.concat(F.date_add("day", (k % 5 - 2).cast("int")).cast("string"), F.lit(" 00:00:00"))
-    update = line(o.filter(k % 3 == 0), 300, joined(
-        " u ", " Policy", "INSURANCE ", stamp, pid, num,
-        F.concat(F.lit('"'), F.col("holder"), F.lit(' | ""Sons"""')), F.col("kind"), day, end,
-        (F.col("price") + 100).cast("string"), stamp, moved, F.when(k % 6 == 0, "cloud").otherwise("")))
-    ragged = line(o.filter(k % 45 == 0), 301, joined(
-        "U", "policy", "insurance", stamp, pid, num, F.col("holder")))
-    broken = line(o.filter(k % 35 == 0), 302, joined(
-        "U", "policy", "insurance", stamp, pid, F.concat(num, F.lit("-" * 50)), F.col("holder"), F.col("kind"),
-        "2024-02-30", end, "99999999999.99", stamp, stamp, "", "surplus"))
-    short = line(o.filter(k % 50 == 0), 200, F.lit("I|short|insurance|ts"))
-    agent = line(o.filter(k % 40 == 0), 201, F.lit("I|agent|insurance|2024-01-01 00:00:00|7|x"))
-    nowhere = line(o.filter(k % 60 == 0), 202, F.lit("I| |insurance|2024-01-01 00:00:00|x|y"))
-    delete = line(o.filter(k % 25 == 0), 400, joined("D", "policy", "insurance", stamp, pid, num))
-    stray = line(o.filter(k % 70 == 0), 401, joined(
-        "I", "claim", "insurance", stamp, (-2 - 2 * k).cast("string"), _num("CLM-X", k, 15),
-        (1000001 + 2 * k).cast("string"), num, "stray", "1.00", "OPEN", "", stamp, stamp, ""))
-    end_mark = line(o, 999, joined("C", text, "1", "ts"))
-
-    c = claim_src(spark, sf).withColumn("k", F.expr("(policy_id - 1000000) div 2"))
-    place = F.expr("(claim_id - 2000000) div 2 % 8")
-    fixed = "2024-01-01 00:00:00"
-    claims = line(c, place + 100, joined(
-        "I", "claim", "insurance", fixed, F.col("claim_id").cast("string"), F.col("claim_num"),
-        F.col("policy_id").cast("string"), F.col("policy_num"), " claimant ",
-        F.col("claim_amount").cast("string"), F.col("claim_status"),
-        F.coalesce(F.col("incident_date").cast("string"), F.lit("")), fixed, fixed,
-        F.coalesce("datasync_flag", F.lit(""))))
-    drops = line(c.filter(k % 50 == 0), place + 350, joined(
-        "D", "claim", "insurance", fixed, F.col("claim_id").cast("string"), F.col("claim_num")))
-
-    parts = [begin, insert, claims, short, agent, nowhere, update, ragged, broken, drops, delete, stray, end_mark]
-    return reduce(DataFrame.unionByName, parts).select(
-        F.concat(F.lit("CDC_TXN_"), F.col("k").cast("string"), F.lit(".csv")).alias("file_name"),
-        "k", "line_num", "line")
+         .selectExpr(
+             "o_orderkey as k", "c_name as holder", "lower(c_mktsegment) as kind",
+             "cast(1000000 + 2 * o_orderkey as string) as pid",
+             "'POL-' || lpad(cast(o_orderkey as string), 15, '0') as num",
+             "cast(cast(o_orderdate as date) as string) as day",
+             "cast(date_add(cast(o_orderdate as date), 365) as string) as end_day",
+             "cast(cast(o_orderdate as date) as string) || ' 00:00:00' as stamp",
+             "cast(date_add(cast(o_orderdate as date), cast(o_orderkey % 5 - 2 as int)) as string)"
+             " || ' 00:00:00' as moved",
+             "cast(o_totalprice as decimal(12,2)) as price"))
+    policy = ["stamp", "pid", "num"]
+    per_order = _lines(o, [
+        _line(0, ["'B'", "cast(k as string)", "'1'", "'ts'"]),
+        _line(1, ["'I'", "'policy'", "'insurance'", *policy, "'  ' || holder || ' '", "kind", "day", "end_day",
+                  "case when k % 11 = 0 then 'NULL' else cast(price as string) end", "stamp", "stamp",
+                  "case when k % 10 = 3 then 'CLOUD' else '' end"]),
+        _line(200, ["'I'", "'short'", "'insurance'", "'ts'"], "k % 50 = 0"),
+        _line(201, ["'I'", "'agent'", "'insurance'", "'2024-01-01 00:00:00'", "'7'", "'x'"], "k % 40 = 0"),
+        _line(202, ["'I'", "' '", "'insurance'", "'2024-01-01 00:00:00'", "'x'", "'y'"], "k % 60 = 0"),
+        _line(300, ["' u '", "' Policy'", "'INSURANCE '", *policy,
+                    "'\"' || holder || ' | \"\"Sons\"\"\"'", "kind", "day", "end_day",
+                    "cast(price + 100 as string)", "stamp", "moved",
+                    "case when k % 6 = 0 then 'cloud' else '' end"], "k % 3 = 0"),
+        _line(301, ["'U'", "'policy'", "'insurance'", *policy, "holder"], "k % 45 = 0"),
+        _line(302, ["'U'", "'policy'", "'insurance'", "stamp", "pid", "num || repeat('-', 50)", "holder", "kind",
+                    "'2024-02-30'", "end_day", "'99999999999.99'", "stamp", "stamp", "''", "'surplus'"],
+              "k % 35 = 0"),
+        _line(400, ["'D'", "'policy'", "'insurance'", *policy], "k % 25 = 0"),
+        _line(401, ["'I'", "'claim'", "'insurance'", "stamp", "cast(-2 - 2 * k as string)",
+                    "'CLM-X' || lpad(cast(k as string), 15, '0')", "cast(1000001 + 2 * k as string)", "num",
+                    "'stray'", "'1.00'", "'OPEN'", "''", "stamp", "stamp", "''"], "k % 70 = 0"),
+        _line(999, ["'C'", "cast(k as string)", "'1'", "'ts'"])])
+
+    c = claim_src(spark, sf).selectExpr(
+        "(policy_id - 1000000) div 2 as k", "(claim_id - 2000000) div 2 % 8 as place",
+        "cast(claim_id as string) as cid", "claim_num", "cast(policy_id as string) as pid", "policy_num",
+        "cast(claim_amount as string) as amount", "claim_status",
+        "coalesce(cast(incident_date as string), '') as incident", "coalesce(datasync_flag, '') as flag")
+    at = "'2024-01-01 00:00:00'"
+    per_claim = _lines(c, [
+        _line("place + 100", ["'I'", "'claim'", "'insurance'", at, "cid", "claim_num", "pid", "policy_num",
+                              "' claimant '", "amount", "claim_status", "incident", at, at, "flag"]),
+        _line("place + 350", ["'D'", "'claim'", "'insurance'", at, "cid", "claim_num"], "k % 50 = 0")])
+    return per_order.unionByName(per_claim).selectExpr(
+        "'CDC_TXN_' || cast(k as string) || '.csv' as file_name", "k", "line_num", "line")
 
 
 def cdc_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -63,8 +63,12 @@ def read_lines(spark: SparkSession, path: str, numbered: bool = False) -> DataFr
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """Add the field array and the kind of each line."""
-    fields = lines.withColumn("cols", split_fields(F.col("line")))
+    """Add the field array and the kind of each line.
+
+    The one-element explode keeps the split where it is: later filters and
+    projections read its result instead of repeating it per column.
+    """
+    fields = lines.select("*", F.explode(F.array(split_fields(F.col("line")))).alias("cols"))
     first = F.upper(strip(F.col("cols")[0]))
     return fields.withColumn(
         "kind",
