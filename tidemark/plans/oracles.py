@@ -104,7 +104,7 @@ UNION ALL SELECT k, 201, 'I|agent|insurance|2024-01-01 00:00:00|7|x' FROM policy
 UNION ALL SELECT k, 202, 'I| |insurance|2024-01-01 00:00:00|x|y' FROM policy_src WHERE k % 60 = 0
 UNION ALL
 SELECT k, 300, ' u | Policy|INSURANCE |' || effective_date || ' 00:00:00|' || policy_id || '|' || policy_num || '|"'
-       || trim(policy_holder_name) || ' | ""Sons"""|' || policy_type || '|' || effective_date || '|' || expiry_date || '|'
+       || trim(policy_holder_name) || ' | ""Sons""' || chr(34) || '|' || policy_type || '|' || effective_date || '|' || expiry_date || '|'
        || CAST(premium_amount + 100 AS DECIMAL(13,2)) || '|' || effective_date || ' 00:00:00|'
        || CAST(effective_date + to_days(CAST(k % 5 - 2 AS INTEGER)) AS DATE) || ' 00:00:00|'
        || CASE WHEN k % 6 = 0 THEN 'cloud' ELSE '' END FROM policy_src WHERE k % 3 = 0
@@ -497,7 +497,7 @@ SELECT event_id, 'app.account' AS table_name, op AS operation, seq, CAST(payload
        CAST(5 + CASE WHEN datasync_flag IS NULL THEN 0 ELSE 1 END - CASE WHEN props IS NULL THEN 1 ELSE 0 END AS BIGINT) AS n_fields,
        '9' AS map_id, status, attempts AS retry_count, false AS reprocess_flag,
        CAST(floor(epoch(applied_at)) AS BIGINT) + CASE WHEN status IN ('SUCCESS', 'SKIP') THEN 90 ELSE 180 END * 86400 AS ttl_epoch,
-       applied_at AS created_at, CAST(least(length(message), 1000) AS BIGINT) AS error_chars FROM outcomes""")
+       applied_at AS created_at, CAST(length(left(message, 1000)) AS BIGINT) AS error_chars FROM outcomes""")
 oracle("audit_log", "audited", "SELECT * FROM audited")
 cte("used", "outcomes", """
 SELECT event_id, 'applier#' || step AS job_step, 'applier' AS job_name, CAST(step AS INTEGER) AS step_number, status,
@@ -546,18 +546,18 @@ SELECT op, count(*) AS event_count, count(*) FILTER (decision = 'INVALID') AS fa
 
 # -- reconciliation --------------------------------------------------------------------------------
 cte("compared", "policy_conv policy_tgt", """
-SELECT policy_id, both AND s.policy_num IS DISTINCT FROM t.policy_num AS diff_policy_num,
-       both AND s.policy_holder_name IS DISTINCT FROM t.policy_holder_name AS diff_policy_holder_name,
-       both AND s.policy_type IS DISTINCT FROM t.policy_type AS diff_policy_type,
-       both AND s.premium_amount IS DISTINCT FROM t.premium_amount AS diff_premium_amount,
-       both AND s.last_modified IS DISTINCT FROM t.last_modified AS diff_last_modified,
+SELECT policy_id, paired AND s.policy_num IS DISTINCT FROM t.policy_num AS diff_policy_num,
+       paired AND s.policy_holder_name IS DISTINCT FROM t.policy_holder_name AS diff_policy_holder_name,
+       paired AND s.policy_type IS DISTINCT FROM t.policy_type AS diff_policy_type,
+       paired AND s.premium_amount IS DISTINCT FROM t.premium_amount AS diff_premium_amount,
+       paired AND s.last_modified IS DISTINCT FROM t.last_modified AS diff_last_modified,
        CASE WHEN t.policy_num IS NULL THEN 'MISSING'
             WHEN s.policy_num IS NULL THEN CASE WHEN abs(policy_id) % 2 = 1 THEN 'CLOUD_ROW' ELSE 'ORPHAN' END
             WHEN s.policy_num <> t.policy_num OR s.policy_holder_name <> t.policy_holder_name OR s.policy_type <> t.policy_type
               OR s.premium_amount <> t.premium_amount OR s.last_modified <> t.last_modified THEN 'MISMATCH'
             ELSE 'MATCH' END AS verdict,
        coalesce(s.last_modified, t.last_modified) AS since, s, t
-FROM (SELECT coalesce(a.policy_id, b.policy_id) AS policy_id, a AS s, b AS t, a.policy_id IS NOT NULL AND b.policy_id IS NOT NULL AS both
+FROM (SELECT coalesce(a.policy_id, b.policy_id) AS policy_id, a AS s, b AS t, a.policy_id IS NOT NULL AND b.policy_id IS NOT NULL AS paired
       FROM policy_conv a FULL JOIN policy_tgt b ON a.policy_id = b.policy_id)""")
 cte("found", "compared", "SELECT * FROM compared WHERE verdict NOT IN ('MATCH', 'CLOUD_ROW')")
 oracle("recon_counts", "policy_src policy_tgt claim_src", """
