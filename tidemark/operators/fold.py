@@ -55,8 +55,8 @@ def circular_guard(flag: Column, op: Column) -> Column:
 
 
 def _with_base(feed: DataFrame, base: DataFrame | None, spec: FoldSpec) -> DataFrame:
-    events = feed.withColumn("_kind", F.lit(1)).withColumn("_pos", F.struct(*spec.order))
-    events = events.withColumn("_gone", F.lit(False))
+    events = feed.select("*", F.lit(1).alias("_kind"), F.struct(*spec.order).alias("_pos"),
+                         F.lit(False).alias("_gone"))
     if base is None:
         return events
     rows = base.withColumn("_kind", F.lit(0)).withColumnsRenamed(
@@ -84,10 +84,9 @@ def _decide(rows: DataFrame, spec: FoldSpec, chunk: str | None) -> DataFrame:
     else:
         stale = F.lit(False)
 
-    rows = (rows.withColumn("_guard", ~is_base & circular_guard(flag, op))
-            .withColumn("_stale", ~is_base & stale)
-            .withColumn("_ok", is_base | valid)
-            .withColumn("_asks", ~is_base & is_cloud(flag) & (op == "U") & modified.isNotNull()))
+    rows = rows.select("*", (~is_base & circular_guard(flag, op)).alias("_guard"),
+                       (~is_base & stale).alias("_stale"), (is_base | valid).alias("_ok"),
+                       (~is_base & is_cloud(flag) & (op == "U") & modified.isNotNull()).alias("_asks"))
     mute = F.col("_guard") | F.col("_stale") | ~F.col("_ok")
     dead = F.coalesce(op == DELETE, F.lit(False)) | F.col("_gone")
     rows = skew.prior_max(rows, keys, order, is_base | (~mute & ~F.col("_asks")),

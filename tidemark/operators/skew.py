@@ -43,6 +43,11 @@ class KeyProfile:
         return min(MAX_CHUNKS, max(2, math.ceil(max(self.hot.values()) / self.task_rows)))
 
 
+def no_hot_keys(keys: list[str], rows: int) -> KeyProfile:
+    """The profile of rows too few for any key to be hot."""
+    return KeyProfile(tuple(keys), rows, MIN_TASK_ROWS)
+
+
 def profile_keys(df: DataFrame, keys: list[str], min_task_rows: int = MIN_TASK_ROWS) -> KeyProfile:
     """One pass over the key columns with a mergeable sketch (no key shuffle).
 
@@ -134,12 +139,11 @@ def prior_max(df: DataFrame, keys: list[str], order: list, reset: Column, value:
     window = Window.partitionBy(*part).orderBy(*order)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
-    marked = (df.withColumn("_value", value)
-              .withColumn("_stretch", F.sum(reset.cast("long")).over(upto))
-              .withColumn("_best", F.max(F.struct("_stretch", "_value")).over(before)))
+    marked = (df.select("*", value.alias("_value"), F.sum(reset.cast("long")).over(upto).alias("_stretch"))
+              .select("*", F.max(F.struct("_stretch", "_value")).over(before).alias("_best")))
     local = F.when(F.col("_best._stretch") == F.col("_stretch"), F.col("_best._value"))
     if not chunk:
-        return marked.withColumn(out, local).drop("_value", "_stretch", "_best")
+        return marked.select(*df.columns, local.alias(out))
 
     along = Window.partitionBy(*keys).orderBy(chunk)
     run = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -148,9 +152,6 @@ def prior_max(df: DataFrame, keys: list[str], order: list, reset: Column, value:
                   F.max(F.struct("_stretch", "_value"))["_value"].alias("_tail"))
              .withColumn("_opened", F.sum((F.col("_resets") > 0).cast("long")).over(run))
              .withColumn("_open", F.max(F.struct("_opened", "_tail")).over(run)["_tail"])
-             .withColumn("_carry", F.lag("_open").over(along))
-             .select(*part, "_carry"))
-    joined = marked.join(carry, part, "left")
-    return (joined.withColumn(out, F.when(F.col("_stretch") == 0, F.greatest(local, "_carry"))
-                              .otherwise(local))
-            .drop("_value", "_stretch", "_best", "_carry"))
+             .select(*part, F.lag("_open").over(along).alias("_carry")))
+    whole = F.when(F.col("_stretch") == 0, F.greatest(local, "_carry")).otherwise(local)
+    return marked.join(carry, part, "left").select(*df.columns, whole.alias(out))

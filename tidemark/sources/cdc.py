@@ -19,7 +19,7 @@ MIN_FIELDS = 5
 
 BLANK, MARKER, SHORT, OPEN_QUOTE, DATA = "BLANK", "MARKER", "SHORT", "OPEN_QUOTE", "DATA"
 
-_FIELD = r'(?:^|\|)("(?:[^"]|"")*"[^|]*|[^|]*)'
+_FIELD = r'\|("(?:[^"]|"")*"[^|]*|[^|]*)'
 _OPEN_FIELD = r'^(?:(?:"(?:[^"]|"")*"[^|]*|[^"|][^|]*|)\|)*"(?:[^"]|"")*$'
 
 
@@ -30,7 +30,9 @@ def _unquote(field: Column) -> Column:
 
 def split_fields(line: Column) -> Column:
     """Fields of one line; only lines that hold a quote take the slow pattern."""
-    quoted = F.transform(F.regexp_extract_all(line, F.lit(_FIELD), F.lit(1)), _unquote)
+    # with a delimiter in front every field is "delimiter, then text"
+    fields = F.regexp_extract_all(F.concat(F.lit("|"), line), F.lit(_FIELD), F.lit(1))
+    quoted = F.transform(fields, _unquote)
     return F.when(line.contains('"'), quoted).otherwise(F.split(line, r"\|", -1))
 
 
