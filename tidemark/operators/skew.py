@@ -81,7 +81,7 @@ def order_cuts(df: DataFrame, column: str, pieces: int) -> list[float]:
     even when Spark has to recompute a partition.
     """
     share = [i / pieces for i in range(1, pieces)]
-    got = df.agg(F.percentile_approx(order_number(df, column), share, 100 * pieces)
+    got = df.agg(F.percentile_approx(order_number(df, column), share, 20 * pieces)
                  .alias("cuts")).first().cuts
     return sorted(set(got or []))
 
