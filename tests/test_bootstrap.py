@@ -1,0 +1,40 @@
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from test_apply import World, policy
+from tidemark.plans import fixtures as fx
+from tidemark.plans.bootstrap import Ring, bootstrap
+from tidemark.sources.snapshot import EmptyTableError
+
+RING = Ring("insurance.policy_keyring", "insurance.policy", "policy_num", "legacy_policy_num", "policy_uuid",
+            "policy_id", 4000001)
+
+
+def test_load_then_change(spark):
+    w = World(spark)
+    rows = spark.createDataFrame(
+        [(1000000, "POL-A", "Ann", "AUTO", "2026-01-01", "2027-01-01", Decimal("1.00"), "2026-01-01 00:00:00"),
+         (1000002, "POL-B", "Bob", "HOME", "2026-01-01", "2027-01-01", Decimal("2.00"), "2026-06-01 12:00:00")],
+        "policy_id bigint, policy_num string, policy_holder_name string, policy_type string, effective_date string, "
+        "expiry_date string, premium_amount decimal(12,2), last_modified string").select(
+        "policy_id", "policy_num", "policy_holder_name", "policy_type", F.to_date("effective_date").alias("effective_date"),
+        F.to_date("expiry_date").alias("expiry_date"), "premium_amount",
+        F.col("last_modified").cast("timestamp_ntz").alias("created_at"),
+        F.col("last_modified").cast("timestamp_ntz").alias("last_modified"))
+    with pytest.raises(EmptyTableError):
+        bootstrap(w.applier, {"insurance.policy": rows.limit(0)}, [], "2026-06-01 00:00:00")
+    for _ in range(2):  # a second run changes nothing
+        bootstrap(w.applier, {"insurance.policy": rows}, [RING], "2026-06-01 00:00:00", fx.TOKEN_SALT)
+    tokens = {r.legacy_policy_num: r.policy_uuid for r in w.table("policy_keyring").collect()}
+    assert set(tokens) == {"POL-A", "POL-B"}
+
+    w.send(policy("U", 1000000, "POL-A", "9.00", "2026-06-01 10:00:00", "CLOUD"),
+           policy("U", 1000002, "POL-B", "9.00", "2026-06-01 10:00:00", "CLOUD"),  # older than the loaded row
+           policy("I", 1000004, "POL-C"))
+    got = {r.policy_id: float(r.premium_amount) for r in w.table("policy").collect()}
+    assert got == {1000000: 9.0, 1000002: 2.0, 1000004: 2500.0}
+    ring = {r.legacy_policy_num: (r.policy_uuid, r.keyring_id) for r in w.table("policy_keyring").collect()}
+    assert {n: u for n, (u, _) in ring.items() if n != "POL-C"} == tokens
+    assert {n: i for n, (_, i) in ring.items()} == {"POL-A": 4000001, "POL-B": 4000003, "POL-C": 4000005}

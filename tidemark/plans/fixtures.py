@@ -98,9 +98,13 @@ def targets() -> dict[str, Target]:
     return {
         POLICY.name: Target(POLICY), CLAIM.name: Target(CLAIM), ACCOUNT.name: Target(ACCOUNT),
         POLICY_KEYRING.name: Target(POLICY_KEYRING, (
-            ("policy_uuid", stable_uuid(F.col("legacy_policy_num"), TOKEN_SALT)), ("created_at", created))),
+            ("keyring_id", F.lit(None).cast("bigint")),
+            ("policy_uuid", stable_uuid(F.col("legacy_policy_num"), TOKEN_SALT)), ("created_at", created)),
+            ("keyring_id", 4000001, 2, "created_at")),
         CLAIM_KEYRING.name: Target(CLAIM_KEYRING, (
-            ("claim_uuid", stable_uuid(F.col("legacy_claim_num"), TOKEN_SALT)), ("created_at", created))),
+            ("keyring_id", F.lit(None).cast("bigint")),
+            ("claim_uuid", stable_uuid(F.col("legacy_claim_num"), TOKEN_SALT)), ("created_at", created)),
+            ("keyring_id", 3000001, 2, "created_at")),
     }
 
 
