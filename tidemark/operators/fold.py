@@ -110,7 +110,8 @@ def fold(feed: DataFrame, spec: FoldSpec, base: DataFrame | None = None,
     """Feed (and current rows) with a ``decision`` each; input of the two views below.
 
     Ordinary keys take one shuffle and one sort by key.  Keys too heavy for a
-    task are cut along the order into pieces that run in parallel.
+    task are cut along the order into pieces that run in parallel; events that
+    share one value of the first order column stay in one piece.
     """
     prof = profile or skew.profile_keys(feed, list(spec.keys), min_task_rows)
     rows = _with_base(feed, base, spec)

@@ -11,7 +11,7 @@ from tidemark.functions import conversions as conv
 from tidemark.functions import keys as keyfn
 from tidemark.functions.scalars import epoch_seconds, file_event_id
 from tidemark.operators import apply as ap
-from tidemark.operators import audit, fold, keyring, naming, ordering, project, reconcile, reverse, validate
+from tidemark.operators import audit, fold, keyring, naming, ordering, project, reconcile, validate
 from tidemark.operators.store import KeyedTable
 from tidemark.plans import fixtures as fx
 from tidemark.session import configure, fresh_path
