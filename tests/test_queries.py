@@ -20,10 +20,10 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.catalogue()) == set(entry.ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.catalogue()))
 def test_query(spark, con, name):
     line = checker.check(spark, con, FOLDER, name)
     assert " ok " in line, line
