@@ -1,8 +1,9 @@
 """Whole texts to token ids with the tokenizers library, one segment at a time.
 
-A text is cut at single spaces and every distinct segment is encoded once per
-worker, so a word that occurs a million times costs one call of the library and
-a look-up for each occurrence.  The cut gives exactly the ids of the whole text:
+A text is cut at single spaces and every segment's ids are looked up; only those
+that a worker has not met yet go to the library.  So a word that occurs a
+million times costs one call and a look-up for each occurrence.  The cuts give
+exactly the ids of the whole text:
 
 * A vocabulary that drops white space (lead=False) never joins characters over a
   space, and its normaliser neither composes nor lowers across one.
@@ -11,65 +12,151 @@ a look-up for each occurrence.  The cut gives exactly the ids of the whole text:
   space reaches over the cut, that is where a space stands between two white
   characters or after one at the very end; such texts are encoded whole.
 
-Memory: the cache starts anew at max_cached segments, and longer segments than
-max_length are encoded without being kept.
+A new segment is cut further, where that is as safe: at single line ends, and
+between a word of letters and one mark after it.
+
+Memory: texts are worked on in slices of SLICE_BYTES, a longer text by itself; the
+cache starts anew at MAX_CACHED entries, and entries longer than MAX_LENGTH are
+encoded without being kept.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import re
 from array import array
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
-
-_WHITE = r"[\s\x1c-\x1f\x85᠎​⁠﻿]"
-_RUN_OVER_CUT = re.compile(rf"{_WHITE} (?:{_WHITE}|\Z)")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# Whatever any regular-expression library counts as white space (fixed values).
+_WHITE = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}"
+          r"\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]")
+_RUN_OVER_CUT = rf"{_WHITE} (?:{_WHITE}|\z)"
+_MARKS = frozenset(",.;:!?")
+#: Text that is worked on at a time, and the most entries that a worker keeps.
+SLICE_BYTES = 8 << 20
+MAX_CACHED = 1_000_000
+MAX_LENGTH = 64
+
+
+def atoms(segment: str, lead: bool) -> list[str]:
+    """Parts of a segment whose ids in a row are the segment's."""
+    out: list[str] = []
+    lines = segment.split("\n")
+    bare = [line[1:] if lead and i == 0 and line[:1] == " " else line for i, line in enumerate(lines)]
+    if any(not x or x != x.strip() for x in bare) and len(lines) > 1:
+        return [segment]
+    for i, line in enumerate(lines):
+        if i and lead:
+            out.append("\n")
+        if line[-1:] in _MARKS and bare[i][:-1].lower().isalpha():  # lowering may give a letter a mark of its own
+            out += (line[:-1], line[-1])
+        else:
+            out.append(line)
+    return out
+
+
+class SegmentCache:
+    """Ids of whole texts from an `encode` that sees every new atom once, as bytes of uint32."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: bool, max_cached: int = MAX_CACHED) -> None:
+        self._encode, self._lead, self._max_cached = encode, lead, max_cached
+        self._known: dict[str, bytes] = {}
+
+    def batch(self, column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first row, ids of the rows from there on), slice by slice; null is empty."""
+        column = pc.fill_null(column, "")
+        before = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))])
+        at = 0
+        while at < len(column):
+            end = max(at + 1, int(np.searchsorted(before, before[at] + SLICE_BYTES, "right")) - 1)
+            yield at, self._slice(column.slice(at, end - at))
+            at = end
+
+    def _slice(self, column: pa.Array) -> list[np.ndarray]:
+        if len(self._known) > self._max_cached:
+            self._known.clear()
+        uncut = np.zeros(0, np.int64)
+        if self._lead:
+            over = pc.match_substring_regex(column, _RUN_OVER_CUT)
+            uncut = np.flatnonzero(over.to_numpy(zero_copy_only=False))
+            whole = column.take(pa.array(uncut)).to_pylist()
+            column = pc.if_else(over, "", column)
+        parts = pc.split_pattern(column, " ")
+        flat = parts.flatten().dictionary_encode()
+        codes = flat.indices.to_numpy().astype(np.int64)
+        words = flat.dictionary.to_pylist()
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
+        if self._lead:  # a text's first segment has no space before it
+            firsts = [words[c] for c in codes[starts[:-1]].tolist()]
+            words = [" " + w for w in words]
+            codes[starts[:-1]] = len(words) + np.arange(len(firsts))
+            words += firsts
+        values = self._values(words)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        begin = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(values), np.uint32)
+        own = sizes[codes]
+        ends = np.cumsum(own)
+        ids = ids[np.repeat(begin[codes] - (ends - own), own) + np.arange(ends[-1])]
+        out = np.split(ids, np.concatenate([[0], ends])[starts[1:-1]])
+        for row, text in zip(uncut.tolist(), whole if len(uncut) else [], strict=True):
+            out[row] = np.frombuffer(self._encode([text])[0], np.uint32)
+        return out
+
+    def _values(self, words: list[str]) -> list[bytes]:
+        """The words' ids; short words stay known."""
+        known = self._known
+        values = list(map(known.get, words))
+        new = [i for i, value in enumerate(values) if value is None]
+        made_of = {words[i]: atoms(words[i], self._lead) for i in new}
+        wanted = list({a for parts in made_of.values() for a in parts if a not in known})
+        known.update(zip(wanted, self._encode(wanted), strict=True))
+        known.update([(w, b"".join([known[a] for a in parts])) for w, parts in made_of.items() if len(parts) > 1])
+        for i in new:
+            values[i] = known[words[i]]
+        for word in {*wanted, *made_of}:
+            if len(word) > MAX_LENGTH or "\n" in word[1:]:
+                del known[word]
+        return values
 
 
 class SegmentEncoder:
-    """ids(texts): for each text its token ids as numpy uint32.
+    """batch(column): token ids of whole texts by the tokenizers library.
 
     Strings of special tokens inside a text are ordinary text: a document must
     not be able to end itself.
     """
 
-    def __init__(self, vocabulary: str, lead: bool, max_cached: int = 1_000_000, max_length: int = 64) -> None:
+    def __init__(self, vocabulary: str, lead: bool, row: int = 64) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._tokenizer.encode_special_tokens = True
-        self._lead, self._max_cached, self._max_length = lead, max_cached, max_length
-        self._cache: dict[str, bytes] = {}
+        self._row, self._between = row, "" if lead else " "
+        self.batch = SegmentCache(self._encode, lead).batch
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
-
-    def _segments(self, text: str) -> list[str]:
-        """Segments with their leading space, if the vocabulary takes it in."""
-        if not self._lead:
-            return text.split(" ")
-        if _RUN_OVER_CUT.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
-        if len(self._cache) > self._max_cached:
-            self._cache.clear()
-        cut = [self._segments(text) for text in texts]
-        known = self._cache
-        new = list(set().union(*cut).difference(known)) if cut else []
-        short = [x for x in new if len(x) <= self._max_length]
-        known.update(zip(short, self._encode(short), strict=True))
-        long = [x for x in new if len(x) > self._max_length]
-        once = dict(zip(long, self._encode(long), strict=True))
-        look = (lambda x: once[x] if x in once else known[x]) if once else known.__getitem__
-        return [np.frombuffer(b"".join(map(look, parts)), np.uint32) for parts in cut]
+        """Words of letters go to the library in rows, each one piece there; all else one by one."""
+        head = 0 if self._between else 1
+        own: dict[str, bytes] = {}
+        words = [p for p in parts if p[head:].isalpha() and (not head or p[0] == " ")]
+        rows = [words[i:i + self._row] for i in range(0, len(words), self._row)]
+        encoded = self._tokenizer.encode_batch([self._between.join(r) for r in rows], add_special_tokens=False)
+        for row, found in zip(rows, encoded, strict=True):
+            ids, piece = array("I", found.ids).tobytes(), np.array(found.word_ids)
+            starts = np.flatnonzero(np.diff(piece, prepend=-1))
+            if len(starts) == len(row):  # else a letter became something else when lowered
+                ends = [*(4 * starts[1:]).tolist(), len(ids)]
+                own.update(zip(row, [ids[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)], strict=True))
+        rest = [p for p in parts if p not in own]
+        own.update((p, array("I", x.ids).tobytes()) for p, x in
+                   zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return [own[p] for p in parts]
 
 
 @functools.lru_cache(maxsize=2)

@@ -30,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocks, shared_path, texts
+from tidemark.llm.common import shared_path
 from tidemark.llm.segments import shared_encoder
 
 BLOCK = 128
@@ -172,14 +173,16 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int, lead: bool, bounds: li
         encoder, end = shared_encoder(vocabulary, lead), np.array([end_id], np.uint32)
         cut = np.array(bounds, np.int64)
         for batch in batches:
-            for rows in blocks(zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True), 256):
-                ids = [np.concatenate([x, end]) for x in encoder.ids([t for _, t in rows])]
-                keys = [0 if d is None else int(np.searchsorted(cut, d)) for d, _ in rows]
+            for at, found in encoder.batch(batch.column(1)):
+                rows = batch.column(0).slice(at, len(found))
+                ids = [np.concatenate([x, end]) for x in found]
+                small = [x.max() < 1 << 16 for x in ids]
                 yield pa.record_batch({
-                    "doc_id": pa.array([d for d, _ in rows], pa.int64()), "file_no": pa.array(keys, pa.int32()),
-                    "small": pa.array([x.max() < 1 << 16 for x in ids], pa.bool_()),
-                    "ids": pa.array([x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids],
-                                    pa.binary())})
+                    "doc_id": rows,
+                    "file_no": pa.array(np.searchsorted(cut, pc.fill_null(rows, -(1 << 63)).to_numpy()), pa.int32()),
+                    "small": pa.array(small, pa.bool_()),
+                    "ids": pa.array([x.astype("<u2" if s else "<u4").tobytes()
+                                     for x, s in zip(ids, small, strict=True)], pa.binary())})
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
             .mapInArrow(run, "doc_id long, file_no int, small boolean, ids binary"))
