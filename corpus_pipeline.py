@@ -1,17 +1,60 @@
-"""From documents to packed training sequences, stage by stage."""
+"""From documents to packed training sequences, stage by stage.
+
+Each stage works on all rows its predecessor kept and calls one operator:
+
+1. quality: lines that fail a rule go, documents that fail or lose too much go
+2. near_duplicates: of every group of near copies the document with the smallest id stays
+3. personal_data: confirmed spans are replaced by their kind
+4. packing: every document's tokens get places in sequences
+
+All but the last return the columns of documents, with n_chars of the text as it
+is now.  Rows with a null id belong to no group of their own and stay, as do
+other rows with the smallest id of a group.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import line_quality, packing, pii_spans, simhash_ball
 from tidemark.llm.common import table, written
+from tidemark.llm.queries import END_ID, SEQUENCE_TOKENS
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _recounted(line_quality.keep_clean(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes = simhash_ball.near_duplicates(docs)
+    copies = classes.where("doc_id <> component_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _recounted(pii_spans.redact(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, SEQUENCE_TOKENS)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", pack)]
+
+#: Hashes, checksums with positions and tokenizers are beyond SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,51 @@
+import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from tidemark.llm import shard_tree as S
+
+
+def test_edges(spark, edge_docs, no_docs):
+    got = S.place(edge_docs, S.balanced(2, 2, 2), rows_per_piece=1).collect()
+    docs = edge_docs.collect()
+    assert sorted((r.doc_id or -1, r["size"], r.text_crc32) for r in got) == sorted(
+        (d.doc_id if d.doc_id else d.doc_id or -1, len((d.text or "").encode()) + 1, zlib.crc32((d.text or "").encode()))
+        for d in docs)
+    by_shard = {}
+    for r in got:
+        by_shard.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(slots) == list(range(len(slots))) for slots in by_shard.values())
+    assert S.place(no_docs, S.balanced(2, 2, 2)).count() == 0
+
+
+def test_law_and_balance(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    tree = S.balanced(2, 2, 2)
+    got = S.place(docs, tree).collect()
+    counts = Counter(r.shard for r in got)
+    assert set(counts) == set(range(8)) and max(counts.values()) < 1.1 * 2500
+    assert all(r.grown_shard in (r.shard, 8) for r in got)
+    moved = sum(r.grown_shard == 8 for r in got)
+    assert abs(moved - 20_000 / 9) < 200
+    # the same ids alone go to the same shards
+    few = {r.doc_id: r.shard for r in S.place(docs.where("doc_id % 97 = 0"), tree).collect()}
+    assert few == {r.doc_id: r.shard for r in got if r.doc_id % 97 == 0}
+
+
+def test_weights_and_confined_movement(spark):
+    ids = spark.range(20_000)
+    leaf = lambda n, w: S.Node(f"s{n}", shard=n, own_weight=w)
+    tree = lambda w: S.Node("all", (S.Node("r0", (S.Node("k0", (leaf(0, 1.0), leaf(1, 3.0))),)),
+                                    S.Node("r1", (S.Node("k1", (leaf(2, w), leaf(3, 4.0 - w))),))))
+    rows = ids.select(S.shard_of(F.col("id"), tree(2.0)).alias("a"), S.shard_of(F.col("id"), tree(1.0)).alias("b")).collect()
+    counts = Counter(r.a for r in rows)
+    assert abs(counts[1] / counts[0] - 3) < 0.3
+    # weights changed inside the second region only
+    assert all(r.a == r.b for r in rows if r.a in (0, 1))
+    assert all(r.b == 3 for r in rows if r.a == 3)
+
+
+def test_written_shards(spark, edge_docs, tmp_path):
+    S.write_shards(edge_docs, S.balanced(1, 2, 2), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == edge_docs.count()

@@ -1,3 +1,25 @@
 """SQL for those queries of this folder that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+# Turns in order; every reply, and the last turn if it is none, ends an example that holds all turns up to it.
+_CHAT = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+escaped AS (
+    SELECT *, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS esc_role,
+           replace(replace(text, '\', '\\'), '<|', '<\|') AS esc_text,
+           row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS turns_in_all
+    FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+measured AS (
+    SELECT *, sum(length('<|im_start|>') + length(esc_role) + 1 + length(esc_text) + length('<|im_end|>') + 1)
+              OVER (PARTITION BY conv_id ORDER BY place) AS chars_so_far FROM escaped)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars_so_far) FILTER (WHERE role = 'assistant' OR place = turns_in_all) AS BIGINT) AS formatted_chars
+FROM measured GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op2_prefix_target_chat": _CHAT}

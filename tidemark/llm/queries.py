@@ -6,11 +6,32 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import token_blocks
+from tidemark.llm import (
+    ann_forest, bpe_fst, chat_expand, html_crf, line_quality, packing, pii_spans, shard_tree, simhash_ball, token_blocks)
 from tidemark.llm.common import table
 
+NEIGHBOURS = 10
 END_ID = 2
+SEQUENCE_TOKENS = 1024
+
+
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, NEIGHBOURS)
+
+
+def op2_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"  # control strings inside texts
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select(*own.columns).unionByName(own)
+    return chat_expand.read_back(chat_expand.formatted(chat_expand.expand(turns)))
+
+
+def op3_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_tree.place(table(spark, sf_dir, "documents"), shard_tree.balanced(2, 2, 2))
 
 
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +39,41 @@ def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+def op5_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_ball.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans.report(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"),
+                                  public_tokenizers.path("byte_bpe_50k.json"), END_ID, SEQUENCE_TOKENS)
+
+
+def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_fst.round_trip(table(spark, sf_dir, "documents"),
+                              public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_prefix_forest": op1_prefix_forest,
+    "op2_prefix_target_chat": op2_prefix_target_chat,
+    "op3_shard_tree": op3_shard_tree,
     "op4_token_blocks": op4_token_blocks,
+    "op5_html_crf": op5_html_crf,
+    "op6_line_quality": op6_line_quality,
+    "op7_simhash_ball": op7_simhash_ball,
+    "op8_pii_spans": op8_pii_spans,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_bpe_transducer": op10_bpe_transducer,
 }
