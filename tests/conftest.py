@@ -10,7 +10,4 @@ from tidemark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, 4, memory="6g", app="tests")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return session
+    return local_session(4, 4, memory="6g", app="tests", shared=str(tmp_path_factory.mktemp("shared")))

@@ -66,35 +66,35 @@ def frame(spark, feed):
     return spark.createDataFrame(feed, SCHEMA)
 
 
-@pytest.mark.parametrize("task_rows", [skew.MIN_TASK_ROWS, 15])
+@pytest.mark.parametrize("task_rows", [skew.TASK_ROWS, 15])
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_equals_replay(spark, seed, task_rows):
     feed = make_feed(seed)
-    folded = fold.fold(frame(spark, feed), SPEC, min_task_rows=task_rows)
+    folded = fold.fold(frame(spark, feed), SPEC, task_rows=task_rows)
     said, state = replay(feed)
     assert {r.seq: r.decision for r in fold.decisions(folded).collect()} == said
     assert spark_rows(fold.final_state(folded, SPEC)) == live_rows(state)
 
 
-@pytest.mark.parametrize("task_rows", [skew.MIN_TASK_ROWS, 10])
+@pytest.mark.parametrize("task_rows", [skew.TASK_ROWS, 10])
 def test_batches_equal_one_fold(spark, task_rows):
     feed = make_feed(5, 300)
     state, known = None, None
     for i in range(3):
         part = feed[i * 100:(i + 1) * 100]
-        folded = fold.fold(frame(spark, part), SPEC, state, min_task_rows=task_rows)
+        folded = fold.fold(frame(spark, part), SPEC, state, task_rows=task_rows)
         state = spark.createDataFrame(fold.final_state(folded, SPEC).toArrow())
         _, known = replay(part, known)
     assert spark_rows(state) == live_rows(known) == live_rows(replay(feed)[1])
 
 
-@pytest.mark.parametrize("task_rows", [skew.MIN_TASK_ROWS, 10])
+@pytest.mark.parametrize("task_rows", [skew.TASK_ROWS, 10])
 def test_old_slice_as_retry_changes_nothing(spark, task_rows):
     feed = make_feed(8, 300)
     spec = fold.FoldSpec(**{**SPEC.__dict__, "retried": "is_retry"})
     state = spark.createDataFrame(fold.final_state(fold.fold(frame(spark, feed), SPEC), SPEC).toArrow())
     again = [(*r[:7], True, r[8]) for r in feed[50:150]]
-    folded = fold.fold(frame(spark, again), spec, state, min_task_rows=task_rows)
+    folded = fold.fold(frame(spark, again), spec, state, task_rows=task_rows)
     assert spark_rows(fold.final_state(folded, spec)) == spark_rows(state)
     said, _ = replay(again, replay(feed)[1])
     assert {r.seq: r.decision for r in fold.decisions(folded).collect()} == said

@@ -14,24 +14,29 @@ def sides(spark):
     return (spark.createDataFrame(many, "k string, v int"), spark.createDataFrame(one, "k string, w int"))
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_is_a_join(sides, how):
-    many, one = sides
-    profile = skew.profile_keys(many, ["k"], min_task_rows=100)
-    assert len(profile.hot) == 1 and profile.salts() >= 2
-    canon = lambda df: sorted(map(str, df.collect()))
-    assert canon(skew.skew_join(many, one, ["k"], how, profile)) == canon(many.join(one, ["k"], how))
+def test_profile_parts_the_rows(sides):
+    many, _ = sides
+    profile = skew.profile_keys(many, ["k"], task_rows=100)
+    assert profile.hot.count() == 1 and profile.pieces() >= 3
+    assert {r.k for r in profile.heavy(many).collect()} == {"hot"}
+    assert profile.heavy(many).count() + profile.light(many).count() == many.count()
 
 
-def test_profile_is_bounded_and_empty_when_even(sides):
+def test_profile_is_empty_when_even(sides):
     many, _ = sides
-    assert skew.profile_keys(many, ["v"], min_task_rows=5).hot == {}
-    assert skew.profile_keys(many.limit(0), ["k"]).hot == {}
+    assert skew.profile_keys(many, ["v"], task_rows=5).hot is None
+    assert skew.profile_keys(many.limit(0), ["k"]).hot is None
+
+
+def test_profile_finds_heavy_keys_in_a_thin_sample(spark):
+    rows = spark.range(400_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    profile = skew.profile_keys(rows, ["k"], task_rows=50_000)
+    assert profile.hot.count() == 1 and 0.8 < profile.hot_rows / 133_334 < 1.2
 
 
 def test_assign_keys_has_no_gap(spark):
     df = spark.range(0, 5000).select((F.col("id") * 37 % 5000).alias("n"))
-    out = keyring.assign_keys(df, "n", "key", 1000001, pieces=16)
+    out = keyring.assign_keys(df, "n", "key", 1000001)
     got = out.orderBy("n").collect()
     assert [r.key for r in got] == [1000001 + 2 * i for i in range(5000)]
     tied = spark.createDataFrame([(1, "b"), (1, "a"), (1, "c")], "n int, t string")
@@ -64,11 +69,15 @@ def test_checks_between_tables(spark):
     assert sorted(r.id for r in validate.unique_violations(rows, ["id"], "num", target).collect()) == [1, 2, 3]
 
 
-def test_compare_and_alert(spark):
+def test_compare_and_alert(spark, tmp_path):
     src = spark.createDataFrame([(2, "a"), (4, "b"), (6, None)], "id bigint, v string")
     tgt = spark.createDataFrame([(2, "a"), (4, "x"), (8, "o"), (9, "c")], "id bigint, v string")
     got = {r.id: r.verdict for r in reconcile.compare(src, tgt, "id", ["v"]).collect()}
     assert got == {2: "MATCH", 4: "MISMATCH", 6: "MISSING", 8: "ORPHAN", 9: "CLOUD_ROW"}
     found = reconcile.discrepancies(reconcile.compare(spark.range(0, 60, 2).withColumn("v", F.lit("a")), tgt, "id", ["v"]))
-    alert = {r.verdict: (r.row_count, r.sample_keys) for r in reconcile.alert_rows(found, "t", "id", 3).collect()}
-    assert alert["MISSING"] == (27, [0, 6, 10])
+    table = reconcile.DriftTable(spark, str(tmp_path / "drift"))
+    for run in ("r1", "r2", "r2"):  # a run that is written again replaces itself
+        stored = table.append(reconcile.history_rows(found, "t", "id", run), run)
+        alert = {r.verdict: r.row_count for r in reconcile.alert_rows(stored).collect()}
+        assert alert["MISSING"] == 27 == stored.filter("verdict = 'MISSING'").count()
+    assert table.read().count() == 2 * stored.count()

@@ -17,6 +17,7 @@ Builder = Callable[[Column, "str | None"], Column]
 # methods whose column is left to the target.
 NULL_TEXT = "NULL"
 FALLBACK_DATE = "1900-01-01"
+LARGEST_NUMBER = "9" * 28 + "." + "9" * 10
 EXCLUDED_METHODS = frozenset({"SKIP", "UUID_GENERATE"})
 
 # Fixed value: the characters that count as white space at the ends of a field.
@@ -41,8 +42,17 @@ def _null_to_blank(value: Column, fmt: str | None) -> Column:
     return F.when(is_blank(value), F.lit("")).otherwise(value)
 
 
+def is_number(value: Column) -> Column:
+    """Digits with an optional sign, point and exponent, however large."""
+    return F.coalesce(strip(value).rlike(r"^[+-]?(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?$"), F.lit(False))
+
+
 def _null_to_zero(value: Column, fmt: str | None) -> Column:
+    """Text that is no number counts as zero; a number too large keeps its sign and the largest
+    amount that can be carried, which no target column holds, so that it is refused as out of range."""
+    largest = F.lit(LARGEST_NUMBER).cast("decimal(38,10)")
     return F.coalesce(value.try_cast("decimal(38,10)"),
+                      F.when(is_number(value), F.when(strip(value).startswith("-"), -largest).otherwise(largest)),
                       F.lit(0).cast("decimal(38,10)"))
 
 
@@ -109,7 +119,7 @@ def registered() -> list[str]:
 
 def unparsable_number(value: Column) -> Column:
     """Rows for which NULL_TO_ZERO falls back to zero although text is present."""
-    return ~is_blank(value) & value.try_cast("decimal(38,10)").isNull()
+    return ~is_blank(value) & value.try_cast("decimal(38,10)").isNull() & ~is_number(value)
 
 
 # The type names used in metadata and their Spark types.

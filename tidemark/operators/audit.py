@@ -33,10 +33,11 @@ def step_of(decision: Column) -> Column:
 
 
 def audit_rows(outcomes: DataFrame, data: dict[str, Column], schema: str, table: str,
-               map_id: int, at: Column) -> DataFrame:
+               map_id: int, at: Column, keep: list[str] = ()) -> DataFrame:
     """One record per event and target, with all that a reprocess needs.
 
-    ``data`` are the row's fields; null ones are not stored.
+    ``data`` are the row's fields; null ones are not stored.  ``keep`` are more
+    columns of the outcomes.
     """
     entries = F.create_map(*[x for k, v in data.items() for x in (F.lit(k), v.cast("string"))])
     return outcomes.select(
@@ -48,7 +49,7 @@ def audit_rows(outcomes: DataFrame, data: dict[str, Column], schema: str, table:
         F.lit(str(map_id)).alias("map_id"), "status", "retry_count",
         F.lit(False).alias("reprocess_flag"),
         ttl_epoch(F.col("status"), at).alias("ttl_epoch"), at.alias("created_at"),
-        truncate_text(F.col("error_message"), AUDIT_ERROR_CHARS).alias("error_message"))
+        truncate_text(F.col("error_message"), AUDIT_ERROR_CHARS).alias("error_message"), *keep)
 
 
 def utilization_rows(events: DataFrame, job: str, step: Column, status: Column, at: Column) -> DataFrame:
@@ -59,12 +60,12 @@ def utilization_rows(events: DataFrame, job: str, step: Column, status: Column,
 
 
 def fault_rows(events: DataFrame, job: str, step: Column, status: Column, reason: Column,
-               at: Column) -> DataFrame:
+               at: Column, keep: list[str] = ()) -> DataFrame:
     return events.select(
         "event_id", F.concat(F.lit(job + "#"), step.cast("string")).alias("job_step"),
         F.lit(job).alias("job_name"), step.cast("int").alias("step_number"),
         status.alias("status"), truncate_text(reason, FAULT_REASON_CHARS).alias("error_reason"),
-        at.alias("created_at"))
+        at.alias("created_at"), *keep)
 
 
 def outcome_utilization(outcomes: DataFrame, job: str, at: Column) -> DataFrame:

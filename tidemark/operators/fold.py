@@ -106,24 +106,23 @@ def _decide(rows: DataFrame, spec: FoldSpec, chunk: str | None) -> DataFrame:
 
 def fold(feed: DataFrame, spec: FoldSpec, base: DataFrame | None = None,
          profile: skew.KeyProfile | None = None,
-         min_task_rows: int = skew.MIN_TASK_ROWS) -> DataFrame:
+         task_rows: int = skew.TASK_ROWS) -> DataFrame:
     """Feed (and current rows) with a ``decision`` each; input of the two views below.
 
     Ordinary keys take one shuffle and one sort by key.  Keys too heavy for a
     task are cut along the order into pieces that run in parallel; events that
     share one value of the first order column stay in one piece.
     """
-    prof = profile or skew.profile_keys(feed, list(spec.keys), min_task_rows)
+    prof = profile or skew.profile_keys(feed, list(spec.keys), task_rows)
     rows = _with_base(feed, base, spec)
-    if not prof.hot:
+    if prof.hot is None:
         return _decide(rows, spec, None)
-    pieces = max(2, min(skew.MAX_CHUNKS, -(-prof.hot_rows // prof.task_rows)))
-    cuts = skew.order_cuts(feed.filter(prof.is_hot()), spec.order[0], pieces)
+    cuts = skew.order_cuts(prof.heavy(feed), spec.order[0], prof.pieces())
     # current rows come before every event, hence in the first piece
-    heavy = rows.filter(prof.is_hot()).withColumn(
+    heavy = prof.heavy(rows).withColumn(
         "_when", F.when(F.col("_kind") == 1, F.col(spec.order[0])))
     heavy = skew.with_chunk(heavy, "_when", cuts).drop("_when")
-    light = rows.filter(~prof.is_hot())
+    light = prof.light(rows)
     return _decide(light, spec, None).unionByName(_decide(heavy, spec, "_chunk").drop("_chunk"))
 
 

@@ -6,25 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import key_origin, stable_uuid
-from tidemark.operators.skew import order_cuts, skew_join, with_chunk
-
-ALLOCATION_PIECES = 1024
+from tidemark.session import fresh_path
 
 
 def assign_keys(rows: DataFrame, order: str, out: str, start: int, step: int = 2,
-                tie: list[str] = (), pieces: int = ALLOCATION_PIECES) -> DataFrame:
+                tie: list[str] = ()) -> DataFrame:
     """Number new rows ``start, start+step, ...`` along ``order`` without gaps.
 
-    The rows are cut along the order, numbered inside each piece, and shifted
-    by the sizes of the pieces before (a table of at most ``pieces`` rows).
+    The rows are dealt to ranges of (order, tie), as many as the cluster uses
+    partitions, and written once with the number of their range.  Each range is
+    then numbered by itself and shifted by the sizes of the ranges before.
     """
-    cut = with_chunk(rows, order, order_cuts(rows, order, pieces))
+    path = fresh_path(rows.sparkSession, "numbering")
+    rows.repartitionByRange(order, *tie).withColumn("_chunk", F.spark_partition_id()).write.parquet(path)
+    cut = rows.sparkSession.read.parquet(path)
     inside = Window.partitionBy("_chunk").orderBy(order, *tie)
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = (cut.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n"))
               .select("_chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")))
     return (cut.withColumn("_n", F.row_number().over(inside) - 1)
-            .join(F.broadcast(starts), "_chunk")  # at most `pieces` rows
+            .join(starts, "_chunk")
             .withColumn(out, (F.lit(start) + F.lit(step) * (F.col("_start") + F.col("_n"))).cast("bigint"))
             .drop("_chunk", "_n", "_start"))
 
@@ -61,7 +62,8 @@ def keyring_load(base: DataFrame, number: str, keyring: DataFrame | None, legacy
                  uuid: str, order: str, start: int, salt: str = "", random: bool = False) -> DataFrame:
     """New keyring rows: one token per number, existing ones untouched.
 
-    ``random`` draws fresh UUIDs: write such rows before using them twice.
+    ``random`` draws fresh UUIDs: write such rows before using them twice.  The new
+    numbers are planned once: assign_keys() reads what it has written.
     """
     fresh = missing_numbers(base, number, keyring, legacy, order)
     if keyring is not None:
@@ -74,12 +76,12 @@ def keyring_load(base: DataFrame, number: str, keyring: DataFrame | None, legacy
 def tokenise(rows: DataFrame, number: str, keyring: DataFrame, legacy: str, uuid: str) -> DataFrame:
     """Replace the business number by its token."""
     ring = keyring.select(F.col(legacy).alias(number), uuid)
-    return skew_join(rows, ring, [number]).drop(number)
+    return rows.join(ring, number).drop(number)
 
 
 def detokenise(rows: DataFrame, uuid: str, keyring: DataFrame, legacy: str, number: str) -> DataFrame:
     ring = keyring.select(uuid, F.col(legacy).alias(number))
-    return skew_join(rows, ring, [uuid]).drop(uuid)
+    return rows.join(ring, uuid).drop(uuid)
 
 
 def keyring_gaps(base: DataFrame, number: str, keyring: DataFrame, legacy: str) -> DataFrame:

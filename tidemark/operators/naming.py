@@ -9,6 +9,11 @@ from tidemark.functions.conversions import strip
 from tidemark.sources.metadata import Mapping, active
 
 
+def source_field(name: str, header: list[str]) -> str:
+    """Column of a source field: its own name, marked where the row's header has that name already."""
+    return f"src:{name}" if name in (*header, "data", "errors") else name
+
+
 def source_key() -> Column:
     return F.concat_ws(".", "src_schema", "src_table")
 
@@ -32,10 +37,6 @@ def unmapped(rows: DataFrame, maps: DataFrame) -> DataFrame:
     return drop_unaddressed(rows).join(_source_pairs(maps), ["src_schema", "src_table"], "left_anti")
 
 
-def mapped(rows: DataFrame, maps: DataFrame) -> DataFrame:
-    return rows.join(_source_pairs(maps), ["src_schema", "src_table"], "left_semi")
-
-
 def rows_of(rows: DataFrame, mapping: Mapping) -> DataFrame:
     return rows.filter((F.col("src_schema") == mapping.src_schema)
                        & (F.col("src_table") == mapping.src_table))
@@ -55,11 +56,11 @@ def name_columns(rows: DataFrame, mappings: list[Mapping], position: str = "rank
     main = primary_map(mappings)
     rules = sorted(main.rules, key=lambda r: r.order)
     data = F.col("data")
+    header = [c for c in rows.columns if c != "data"]
     fields = []
     for i, rule in enumerate(rules):
         at = i if position == "rank" else rule.order - 1
-        fields.append(strip(F.get(data, F.lit(at))).alias(rule.src))
-    header = [c for c in rows.columns if c != "data"]
+        fields.append(strip(F.get(data, F.lit(at))).alias(source_field(rule.src, header)))
     # inline() of one struct: each field is stripped once, however often it is read
     return rows_of(rows, main).select(*header, F.inline(F.array(F.struct(*fields))))
 

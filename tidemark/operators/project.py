@@ -26,6 +26,9 @@ def excluded_columns(mapping: Mapping) -> list[str]:
 
 
 def _source(named: DataFrame, field: str) -> Column:
+    marked = f"src:{field}"  # a source field named like one of the header
+    if marked in named.columns:
+        return F.col(f"`{marked}`")
     return F.col(field) if field in named.columns else F.lit(None).cast("string")
 
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import key_origin
 
 MATCH, MISSING, ORPHAN, MISMATCH, CLOUD_ROW = "MATCH", "MISSING", "ORPHAN", "MISMATCH", "CLOUD_ROW"
 DRIFT_LIMIT_HOURS = 24
-ALERT_KEYS = 10
 
 
 def compare(source: DataFrame, target: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -82,12 +81,28 @@ def repair_feed(found: DataFrame, key: str, columns: list[str], modified: str) -
                         row[modified].alias("event_ts"))
 
 
-def alert_rows(found: DataFrame, table: str, key: str, keys_shown: int = ALERT_KEYS) -> DataFrame:
-    """Per verdict the count and the first few keys (a report, not the repair)."""
-    counts_ = found.groupBy("verdict").agg(F.count(F.lit(1)).alias("row_count"))
-    first = Window.partitionBy("verdict").orderBy(key)
-    shown = (found.select("verdict", key).withColumn("_n", F.row_number().over(first))
-             .filter(F.col("_n") <= keys_shown)
-             .groupBy("verdict").agg(F.sort_array(F.collect_list(key)).alias("sample_keys")))
-    return (counts_.join(shown, "verdict")
-            .select(F.lit(table).alias("table_name"), "verdict", "row_count", "sample_keys"))
+def history_rows(found: DataFrame, table: str, key: str, run_id: str) -> DataFrame:
+    """Every discrepancy of one comparison, under the number of its run."""
+    return found.select(F.lit(run_id).alias("run_id"), F.lit(table).alias("table_name"), "verdict",
+                        F.col(key).cast("string").alias("row_key"))
+
+
+class DriftTable:
+    """All discrepancies of all runs; a run owns its partition and writing it again replaces it."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def append(self, history: DataFrame, run_id: str) -> DataFrame:
+        """Store one run and return its rows as stored."""
+        folder = f"{self.path}/run_id={run_id}"
+        history.drop("run_id").write.mode("overwrite").parquet(folder)
+        return self.spark.read.parquet(folder).withColumn("run_id", F.lit(run_id)).select(*history.columns)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.option("basePath", self.path).parquet(self.path)
+
+
+def alert_rows(history: DataFrame) -> DataFrame:
+    """Per run, table and verdict the number of keys; the keys are in the drift table under that run."""
+    return history.groupBy("run_id", "table_name", "verdict").agg(F.count(F.lit(1)).alias("row_count"))

@@ -7,16 +7,15 @@ whichever keys it names, the operators that use it return the same rows.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 4000
-TRACKED_KEYS = 50_000
-MIN_TASK_ROWS = 1_000_000
-MAX_CHUNKS = 1024
+TASK_ROWS = 1_000_000
+#: Sampled rows by which a key of TASK_ROWS rows is known; a fixed number, whatever the input holds.
+SAMPLED_ROWS = 1000
 
 
 def key_hash(keys: list[str]) -> Column:
@@ -25,42 +24,48 @@ def key_hash(keys: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class KeyProfile:
-    """Heavy keys of a DataFrame (by hash) with their estimated row counts."""
+    """Keys (by hash) that hold more rows than one task should, and the rows of all of them, estimated."""
 
     keys: tuple[str, ...]
-    rows: int
     task_rows: int
-    hot: dict[int, int] = field(default_factory=dict)
+    hot: DataFrame | None = None
+    hot_rows: int = 0
 
-    def is_hot(self) -> Column:
-        return key_hash(list(self.keys)).isin(list(self.hot))
+    def pieces(self) -> int:
+        return max(2, math.ceil(self.hot_rows / self.task_rows))
 
-    @property
-    def hot_rows(self) -> int:
-        return sum(self.hot.values())
+    def heavy(self, df: DataFrame) -> DataFrame:
+        return self._marked(df).filter(F.col("_hot").isNotNull()).drop("_h", "_hot")
 
-    def salts(self) -> int:
-        return min(MAX_CHUNKS, max(2, math.ceil(max(self.hot.values()) / self.task_rows)))
+    def light(self, df: DataFrame) -> DataFrame:
+        return self._marked(df).filter(F.col("_hot").isNull()).drop("_h", "_hot")
 
+    def _marked(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_h", key_hash(list(self.keys))).join(
+            self.hot.withColumn("_hot", F.lit(True)), "_h", "left")
 
-def no_hot_keys(keys: list[str], rows: int) -> KeyProfile:
+
+def no_hot_keys(keys: list[str], task_rows: int = TASK_ROWS) -> KeyProfile:
     """The profile of rows too few for any key to be hot."""
-    return KeyProfile(tuple(keys), rows, MIN_TASK_ROWS)
+    return KeyProfile(tuple(keys), task_rows)
 
 
-def profile_keys(df: DataFrame, keys: list[str], min_task_rows: int = MIN_TASK_ROWS) -> KeyProfile:
-    """One pass over the key columns with a mergeable sketch (no key shuffle).
+def profile_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> KeyProfile:
+    """Hot keys by counts over a sample of the key columns.
 
-    A key is hot when it holds more rows than a task should: at least
-    ``min_task_rows`` and at least 1/4000 of all rows, so at most 4000 keys
-    can be hot and the list that reaches the driver is bounded.
+    The sample is as thin as a key at the limit allows, so it costs one scan of
+    the key columns and a shuffle of a thousandth of their rows.  The hot keys
+    stay a table: their number grows with the input.
     """
-    top = F.expr(f"approx_top_k(_h, {MAX_HOT_KEYS}, {TRACKED_KEYS})")
-    row = (df.select(key_hash(keys).alias("_h"))
-           .agg(F.count(F.lit(1)).alias("n"), top.alias("top")).first())
-    limit = max(min_task_rows, row.n // MAX_HOT_KEYS)
-    hot = {t["item"]: t["count"] for t in (row.top or []) if t["count"] > limit}
-    return KeyProfile(tuple(keys), row.n, limit, hot)
+    rate = min(1.0, SAMPLED_ROWS / task_rows)
+    drawn = df.select(key_hash(keys).alias("_h"))
+    drawn = drawn if rate == 1.0 else drawn.sample(rate, seed=17)
+    hot = drawn.groupBy("_h").count().filter(F.col("count") > rate * task_rows).persist()
+    rows = hot.agg(F.sum("count")).first()[0]
+    if not rows:
+        hot.unpersist()
+        return no_hot_keys(keys, task_rows)
+    return KeyProfile(tuple(keys), task_rows, hot.select("_h"), math.ceil(rows / rate))
 
 
 def order_number(df: DataFrame, column: str) -> Column:
@@ -97,32 +102,6 @@ def with_chunk(df: DataFrame, column: str, cuts: list[float], out: str = "_chunk
             .withColumn(out, F.col(out).cast("int")))
 
 
-def _salt_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if f.dataType.typeName() not in ("map", "variant")]
-
-
-def skew_join(many: DataFrame, one: DataFrame, on: list[str], how: str = "inner",
-              profile: KeyProfile | None = None, min_task_rows: int = MIN_TASK_ROWS) -> DataFrame:
-    """Equi join whose left side may have hot keys (inner, left, semi or anti).
-
-    Rows of a hot key are spread over several tasks by a hash of the row; the
-    other side's rows of that key, and only those, are repeated once per salt.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(how)
-    prof = profile or profile_keys(many, on, min_task_rows)
-    if not prof.hot:
-        return many.join(one, on, how)
-    n = prof.salts()
-    hot = key_hash(on).isin(list(prof.hot))
-    spread = many.withColumn("_salt", F.when(
-        hot, F.pmod(F.xxhash64(*_salt_columns(many)), F.lit(n)).cast("int")).otherwise(0))
-    copies = one.withColumn("_salt", F.explode(F.when(
-        hot, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
-    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
 def prior_max(df: DataFrame, keys: list[str], order: list, reset: Column, value: Column,
               out: str, chunk: str | None = None) -> DataFrame:
     """Largest ``value`` before each row, counted from the last ``reset`` on.

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.conversions import cast_to_target, target_type
 from tidemark.operators import project
-from tidemark.operators.skew import skew_join
 from tidemark.sources.metadata import Mapping
 
 
@@ -23,9 +22,10 @@ class ColumnSpec:
 
 @dataclass(frozen=True)
 class TableSpec:
-    """Constraints of one target: columns, primary key, unique columns, parent.
+    """Constraints of one target: columns, primary key, unique columns, parents.
 
-    ``parent`` is (child column, parent table, parent column).
+    ``parent`` is (child column, parent table, parent column); a table with
+    several has the others in ``more_parents``.
     """
 
     name: str
@@ -33,6 +33,11 @@ class TableSpec:
     columns: tuple[ColumnSpec, ...]
     unique: tuple[str, ...] = ()
     parent: tuple[str, str, str] | None = None
+    more_parents: tuple[tuple[str, str, str], ...] = ()
+
+    @property
+    def parents(self) -> tuple[tuple[str, str, str], ...]:
+        return (*((self.parent,) if self.parent else ()), *self.more_parents)
 
     def column(self, name: str) -> ColumnSpec | None:
         return next((c for c in self.columns if c.name == name), None)
@@ -102,18 +107,18 @@ def unique_violations(rows: DataFrame, keys: list[str], unique: str,
     clash = (seen.filter(F.col(unique).isNotNull()).groupBy(unique)
              .agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
              .filter(F.col("_lo") != F.col("_hi")).select(unique))
-    return skew_join(rows, clash, [unique], "left_semi")
+    return rows.join(clash, unique, "left_semi")
 
 
 def fk_violations(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Child rows whose parent does not exist.
 
-    The distinct references are checked, not the rows; a heavy missing parent
-    is then met by a salted join.
+    The distinct references are checked, not the rows; the rows of a heavy
+    missing parent are split by the adaptive skew join.
     """
     wanted = child.filter(F.col(column).isNotNull()).select(column).distinct()
     lost = wanted.join(parent.select(F.col(parent_column).alias(column)), column, "left_anti")
-    return skew_join(child, lost, [column], "left_semi")
+    return child.join(lost, column, "left_semi")
 
 
 def fk_restrict(deleted: DataFrame, parent_column: str, child: DataFrame, column: str) -> DataFrame:

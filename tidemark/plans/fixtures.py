@@ -191,12 +191,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Use all cores on a scan of few splits; a scan of many is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
-
-
 def _num(prefix: str, value: Column, width: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(value.cast("string"), width, "0"))
 
@@ -218,7 +212,7 @@ def claim_src(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as claims; several lines may share a number, so they are grouped."""
     items = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate")
-    grouped = (spread(items, "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber")
+    grouped = (items.groupBy("l_orderkey", "l_linenumber")
                .agg(F.max("l_extendedprice").alias("price"), F.max(F.ascii("l_returnflag")).alias("rf"),
                     F.max("l_shipdate").alias("last_modified")))
     return grouped.selectExpr(
@@ -292,7 +286,7 @@ def cdc_lines(spark: SparkSession, sf: str) -> DataFrame:
     and policies, a claim without policy; a marker again.
     """
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    o = (spread(orders, "o_orderkey")
+    o = (orders
          .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
          .selectExpr(
              "o_orderkey as k", "c_name as holder", "lower(c_mktsegment) as kind",

@@ -235,33 +235,49 @@ UNION ALL
 SELECT map_id, src_schema, src_tbl_nam, dstn_tbl_nam, true, stream_type, load_order, 2 FROM {_SEED_MAPS}""")
 
 # fixed values: source field, target field, method and position of the seed rules, by map
+# Map, place, source field, target field, method.
 _SEED_RULES = [
-    (1, "policy_id:policy_id:LEGACY_REF;policy_num:policy_num:DIRECT;policy_holder_name:policy_holder_name:TRIM;"
-        "policy_type:policy_type:UPPERCASE;effective_date:effective_date:DIRECT;expiry_date:expiry_date:DIRECT;"
-        "premium_amount:premium_amount:NULL_TO_ZERO;created_at:created_at:DIRECT;last_modified:last_modified:DIRECT;"
-        "datasync_flag:datasync_flag:DIRECT"),
-    (2, "policy_num:legacy_policy_num:DIRECT"),
-    (3, "claim_id:claim_id:LEGACY_REF;claim_num:claim_num:DIRECT;policy_id:policy_id:LEGACY_REF;"
-        "policy_num:policy_num:DIRECT;claimant_name:claimant_name:TRIM;claim_amount:claim_amount:NULL_TO_ZERO;"
-        "claim_status:claim_status:NULL_TO_BLANK;incident_date:incident_date:NULL_TO_DATE;"
-        "created_at:created_at:DIRECT;last_modified:last_modified:DIRECT;datasync_flag:datasync_flag:DIRECT"),
-    (4, "claim_num:legacy_claim_num:DIRECT"),
-    (9, "account_id:account_id:LEGACY_REF;payload:payload:NULL_TO_ZERO;props:props:DIRECT;"
-        "last_modified:last_modified:DIRECT;datasync_flag:datasync_flag:DIRECT"),
+    (1, 1, "policy_id", "policy_id", "LEGACY_REF"),
+    (1, 2, "policy_num", "policy_num", "DIRECT"),
+    (1, 3, "policy_holder_name", "policy_holder_name", "TRIM"),
+    (1, 4, "policy_type", "policy_type", "UPPERCASE"),
+    (1, 5, "effective_date", "effective_date", "DIRECT"),
+    (1, 6, "expiry_date", "expiry_date", "DIRECT"),
+    (1, 7, "premium_amount", "premium_amount", "NULL_TO_ZERO"),
+    (1, 8, "created_at", "created_at", "DIRECT"),
+    (1, 9, "last_modified", "last_modified", "DIRECT"),
+    (1, 10, "datasync_flag", "datasync_flag", "DIRECT"),
+    (2, 1, "policy_num", "legacy_policy_num", "DIRECT"),
+    (3, 1, "claim_id", "claim_id", "LEGACY_REF"),
+    (3, 2, "claim_num", "claim_num", "DIRECT"),
+    (3, 3, "policy_id", "policy_id", "LEGACY_REF"),
+    (3, 4, "policy_num", "policy_num", "DIRECT"),
+    (3, 5, "claimant_name", "claimant_name", "TRIM"),
+    (3, 6, "claim_amount", "claim_amount", "NULL_TO_ZERO"),
+    (3, 7, "claim_status", "claim_status", "NULL_TO_BLANK"),
+    (3, 8, "incident_date", "incident_date", "NULL_TO_DATE"),
+    (3, 9, "created_at", "created_at", "DIRECT"),
+    (3, 10, "last_modified", "last_modified", "DIRECT"),
+    (3, 11, "datasync_flag", "datasync_flag", "DIRECT"),
+    (4, 1, "claim_num", "legacy_claim_num", "DIRECT"),
+    (9, 1, "account_id", "account_id", "LEGACY_REF"),
+    (9, 2, "payload", "payload", "NULL_TO_ZERO"),
+    (9, 3, "props", "props", "DIRECT"),
+    (9, 4, "last_modified", "last_modified", "DIRECT"),
+    (9, 5, "datasync_flag", "datasync_flag", "DIRECT"),
 ]
-_values = ", ".join(f"({m}, '{t}')" for m, t in _SEED_RULES)
+_values = ", ".join(map(str, _SEED_RULES))
 cte("seed_rules", "", f"""
-SELECT CAST(map_id AS INTEGER) AS map_id, CAST(i AS INTEGER) AS pos, string_split(r, ':') AS p,
+SELECT CAST(map_id AS INTEGER) AS map_id, CAST(i AS INTEGER) AS pos, src, dst, method,
        CAST(row_number() OVER (ORDER BY map_id, i) - 1000 AS INTEGER) AS rule_id
-FROM (SELECT map_id, unnest(string_split(t, ';')) AS r, generate_subscripts(string_split(t, ';'), 1) AS i
-      FROM (VALUES {_values}) v(map_id, t))""")
+FROM (VALUES {_values}) v(map_id, i, src, dst, method)""")
 cte("rules", "seed_rules", """
 SELECT DISTINCT CAST(l_suppkey * 10 + l_linenumber AS INTEGER) AS rule_id, CAST(l_suppkey * 2 + 100 AS INTEGER) AS map_id,
        'f' || l_linenumber AS src_field_name, 'g' || l_linenumber AS dstn_field_name,
        ['DIRECT', 'NULL_TO_BLANK', 'NULL_TO_ZERO', 'NULL_TO_DATE', 'LEGACY_REF', 'UPPERCASE', 'TRIM', 'SKIP',
         'UUID_GENERATE', 'SKIP_NULL_CONVERSION'][1 + (l_suppkey + l_linenumber) % 10] AS conversion_method,
        CAST(l_linenumber * 10 AS INTEGER) AS column_order FROM lineitem
-UNION ALL SELECT rule_id, map_id, p[1], p[2], p[3], pos FROM seed_rules""")
+UNION ALL SELECT rule_id, map_id, src, dst, method, pos FROM seed_rules""")
 
 # -- change files ------------------------------------------------------------------
 oracle("landing_files", "lines", """
@@ -576,11 +592,10 @@ SELECT CASE verdict WHEN 'MISSING' THEN 'I' WHEN 'ORPHAN' THEN 'D' ELSE 'U' END
        coalesce(s.policy_num, t.policy_num) AS policy_num, coalesce(s.policy_holder_name, t.policy_holder_name) AS policy_holder_name,
        coalesce(s.policy_type, t.policy_type) AS policy_type, coalesce(s.premium_amount, t.premium_amount) AS premium_amount,
        since AS last_modified, CAST(NULL AS VARCHAR) AS datasync_flag, since AS event_ts FROM found""")
+oracle("recon_history", "found", """
+SELECT 'run-1' AS run_id, 'insurance.policy' AS table_name, verdict, CAST(policy_id AS VARCHAR) AS row_key FROM found""")
 oracle("recon_alert", "found", """
-SELECT 'insurance.policy' AS table_name, verdict, max(c) AS row_count,
-       string_agg(CAST(policy_id AS VARCHAR), ',' ORDER BY policy_id) AS sample_keys
-FROM (SELECT verdict, policy_id, count(*) OVER (PARTITION BY verdict) AS c,
-             row_number() OVER (PARTITION BY verdict ORDER BY policy_id) AS n FROM found) WHERE n <= 10 GROUP BY verdict""")
+SELECT 'run-1' AS run_id, 'insurance.policy' AS table_name, verdict, count(*) AS row_count FROM found GROUP BY verdict""")
 oracle("recon_converged", "policy_src policy_tgt", """
 SELECT 'MATCH' AS verdict, count(*) AS row_count FROM policy_src
 UNION ALL SELECT 'CLOUD_ROW', count(*) FROM policy_tgt WHERE abs(policy_id) % 2 = 1""")

@@ -21,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, Query] = {}
 
 NOW = "1999-01-01 00:00:00"
+RUN_ID = "run-1"
 JOB = "applier"
 
 
@@ -342,7 +343,7 @@ def apply_feed(spark, sf):
 def apply_feed_split(spark, sf):
     """The same fold with every key treated as too heavy for one task."""
     feed = fx.change_feed(spark, sf)
-    return _feed_rows(fold.final_state(fold.fold(feed, FEED_SPEC, min_task_rows=5), FEED_SPEC))
+    return _feed_rows(fold.final_state(fold.fold(feed, FEED_SPEC, task_rows=5), FEED_SPEC))
 
 
 @query
@@ -721,10 +722,23 @@ def recon_repair(spark, sf):
 
 
 @query
-def recon_alert(spark, sf):
+def recon_history(spark, sf):
+    """Every discrepancy, stored under its run and read back."""
+    return _drift_table(spark, sf).read().withColumn("run_id", F.col("run_id").cast("string"))
+
+
+def _drift_table(spark, sf) -> reconcile.DriftTable:
+    table = reconcile.DriftTable(spark, fresh_path(spark, "drift"))
     found = reconcile.discrepancies(_compared(spark, sf))
-    got = reconcile.alert_rows(found, "insurance.policy", "policy_id")
-    return got.withColumn("sample_keys", F.array_join(F.transform("sample_keys", lambda k: k.cast("string")), ","))
+    table.append(reconcile.history_rows(found, "insurance.policy", "policy_id", RUN_ID), RUN_ID)
+    return table
+
+
+@query
+def recon_alert(spark, sf):
+    """Counts from the stored run, which the alert names."""
+    stored = _drift_table(spark, sf).read().withColumn("run_id", F.col("run_id").cast("string"))
+    return reconcile.alert_rows(stored)
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 RUNTIME_CONF = {
@@ -25,13 +26,20 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
-                  memory: str = "12g", app: str = "tidemark") -> SparkSession:
-    """A local session for tests and the benchmark."""
+                  memory: str = "12g", app: str = "tidemark", shared: str | None = None) -> SparkSession:
+    """A local session for tests and the benchmark.
+
+    All executors of a local session are one process, so a temporary folder can
+    stand in where neither ``shared`` nor the environment names a shared one.
+    """
+    named = SparkConf().get("spark.checkpoint.dir", None)
+    shared = shared or named or tempfile.mkdtemp(prefix="tidemark-")
     spark = (SparkSession.builder.master(f"local[{cores}]").appName(app)
              .config("spark.ui.enabled", "false")
              .config("spark.driver.memory", memory)
              .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
              .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", shared)
              .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -39,14 +47,10 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as the cluster names it.
-
-    Only where the cluster names none (unit tests) is a temporary one made.
-    """
+    """Folder all executors can reach, as the cluster names it in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("start the session with spark.checkpoint.dir set to a folder that all executors share")
     return base.rstrip("/")
 
 

@@ -19,12 +19,14 @@ MIN_FIELDS = 5
 
 BLANK, MARKER, SHORT, OPEN_QUOTE, DATA = "BLANK", "MARKER", "SHORT", "OPEN_QUOTE", "DATA"
 
-_FIELD = r'\|("(?:[^"]|"")*"[^|]*|[^|]*)'
-_OPEN_FIELD = r'^(?:(?:"(?:[^"]|"")*"[^|]*|[^"|][^|]*|)\|)*"(?:[^"]|"")*$'
+# Possessive groups: the matcher loops over them, while a plain group would recurse once per character.
+_QUOTED = r'"(?:[^"]++|"")*+"'
+_FIELD = rf'\|({_QUOTED}[^|]*+|[^|]*+)'
+_OPEN_FIELD = rf'^(?:(?:{_QUOTED}[^|]*+|[^"|][^|]*+|)\|)*+"(?:[^"]++|"")*+$'
 
 
 def _unquote(field: Column) -> Column:
-    inner = F.regexp_replace(field, r'^"((?:[^"]|"")*)"', "$1")
+    inner = F.regexp_replace(field, r'^"((?:[^"]++|"")*+)"', "$1")
     return F.when(field.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(field)
 
 

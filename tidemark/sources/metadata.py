@@ -129,9 +129,10 @@ def load_mappings(maps: DataFrame, rules: DataFrame, stream: str | None = None)
     """Active mappings on the driver, ordered by source, load order and id."""
     chosen = maps if stream is None else for_stream(maps, stream)
     nested = catalog(chosen, rules)
-    rows = nested.limit(MAX_DRIVER_RULES + 1).collect()
-    if len(rows) > MAX_DRIVER_RULES:
-        raise ValueError("too many mappings to plan on the driver; select a source first")
+    held = nested.agg(F.coalesce(F.sum(F.size("rules") + 1), F.lit(0))).first()[0]
+    if held > MAX_DRIVER_RULES:  # maps and their rules
+        raise ValueError("too many mapping rules to plan on the driver; select a source first")
+    rows = nested.collect()
     found = [Mapping(
         r.map_id, r.src_schema_nam, r.src_tbl_nam, r.dstn_schema_nam, r.dstn_tbl_nam,
         _keys(r.src_pks), _keys(r.dstn_pks), r.load_order, r.stream_type,
