@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_quality, packing, pii_spans, simhash_ball
-from tidemark.llm.common import table, written
+from tidemark.llm.common import bounded, table, written
 from tidemark.llm.queries import END_ID, SEQUENCE_TOKENS
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -34,10 +34,12 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return _recounted(line_quality.keep_clean(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     classes = simhash_ball.near_duplicates(docs)
     copies = classes.where("doc_id <> component_id").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
@@ -48,6 +50,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, SEQUENCE_TOKENS)
 
 
