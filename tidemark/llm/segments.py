@@ -1,23 +1,25 @@
 """Whole texts to token ids with the tokenizers library, one segment at a time.
 
-A text is cut at single spaces and every segment's ids are looked up; only those
+Texts are cut into segments and every segment's ids are looked up; only those
 that a worker has not met yet go to the library.  So a word that occurs a
 million times costs one call and a look-up for each occurrence.  The cuts give
 exactly the ids of the whole text:
 
 * A vocabulary that drops white space (lead=False) never joins characters over a
-  space, and its normaliser neither composes nor lowers across one.
-* A byte-level vocabulary (lead=True) takes the space into the piece that
-  follows.  Cutting before a space changes its pieces only where a run of white
-  space reaches over the cut, that is where a space stands between two white
-  characters or after one at the very end; such texts are encoded whole.
-
-A new segment is cut further, where that is as safe: at single line ends, and
-between a word of letters and one mark after it.
+  space or line end, and its normaliser neither composes nor lowers across one.
+* A byte-level vocabulary (lead=True) takes a space into the piece that follows.
+  Cutting before a space changes its pieces only where a run of white space
+  reaches over the cut, that is where a space stands between two white
+  characters or after one at the very end; such texts are encoded whole.  Line
+  ends are pieces of their own where no other white space touches them.
+* Between a letter and one mark before white space there is always a cut.  Only
+  letters are taken that have one character when lowered.
 
 Memory: texts are worked on in slices of SLICE_BYTES, a longer text by itself; the
-cache starts anew at MAX_CACHED entries, and entries longer than MAX_LENGTH are
-encoded without being kept.
+cache has two halves of MAX_CACHED entries together, of which the older is dropped
+whenever the younger is full and takes over what is met again; a segment is kept
+from its second meeting on, if so told (most words of a large text occur once), and never if
+it is longer than MAX_LENGTH.
 """
 
 from __future__ import annotations
@@ -35,36 +37,26 @@ import pyarrow.compute as pc
 _WHITE = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}"
           r"\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]")
 _RUN_OVER_CUT = rf"{_WHITE} (?:{_WHITE}|\z)"
-_MARKS = frozenset(",.;:!?")
+_TOUCHED_LINE_END = rf"{_WHITE}\n|\n{_WHITE}"
+_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([,.;:!?])([ \n]|\z)"
+_CUT = "\0"
 #: Text that is worked on at a time, and the most entries that a worker keeps.
 SLICE_BYTES = 8 << 20
-MAX_CACHED = 1_000_000
+MAX_CACHED = 500_000
 MAX_LENGTH = 64
-
-
-def atoms(segment: str, lead: bool) -> list[str]:
-    """Parts of a segment whose ids in a row are the segment's."""
-    out: list[str] = []
-    lines = segment.split("\n")
-    bare = [line[1:] if lead and i == 0 and line[:1] == " " else line for i, line in enumerate(lines)]
-    if any(not x or x != x.strip() for x in bare) and len(lines) > 1:
-        return [segment]
-    for i, line in enumerate(lines):
-        if i and lead:
-            out.append("\n")
-        if line[-1:] in _MARKS and bare[i][:-1].lower().isalpha():  # lowering may give a letter a mark of its own
-            out += (line[:-1], line[-1])
-        else:
-            out.append(line)
-    return out
+_MET_MASK = (1 << 22) - 1
 
 
 class SegmentCache:
-    """Ids of whole texts from an `encode` that sees every new atom once, as bytes of uint32."""
+    """Ids of whole texts from an `encode` that sees every new segment once, as bytes of uint32."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: bool, max_cached: int = MAX_CACHED) -> None:
-        self._encode, self._lead, self._max_cached = encode, lead, max_cached
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: bool, max_cached: int = MAX_CACHED,
+                 meetings: int = 2) -> None:
+        """meetings: how often a segment is met before it is kept, once (1) or twice (2)."""
+        self._encode, self._lead, self._max_cached, self._meetings = encode, lead, max_cached, meetings
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._met = bytearray(_MET_MASK + 1)
 
     def batch(self, column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         """(first row, ids of the rows from there on), slice by slice; null is empty."""
@@ -77,50 +69,58 @@ class SegmentCache:
             at = end
 
     def _slice(self, column: pa.Array) -> list[np.ndarray]:
-        if len(self._known) > self._max_cached:
-            self._known.clear()
-        uncut = np.zeros(0, np.int64)
+        over = pc.match_substring(column, _CUT)
         if self._lead:
-            over = pc.match_substring_regex(column, _RUN_OVER_CUT)
-            uncut = np.flatnonzero(over.to_numpy(zero_copy_only=False))
-            whole = column.take(pa.array(uncut)).to_pylist()
-            column = pc.if_else(over, "", column)
-        parts = pc.split_pattern(column, " ")
+            over = pc.or_(over, pc.match_substring_regex(column, _RUN_OVER_CUT))
+        uncut = np.flatnonzero(over.to_numpy(zero_copy_only=False))
+        whole = column.take(pa.array(uncut)).to_pylist()
+        parts = self._cut(pc.if_else(over, "", column))
         flat = parts.flatten().dictionary_encode()
-        codes = flat.indices.to_numpy().astype(np.int64)
-        words = flat.dictionary.to_pylist()
-        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
-        if self._lead:  # a text's first segment has no space before it
-            firsts = [words[c] for c in codes[starts[:-1]].tolist()]
-            words = [" " + w for w in words]
-            codes[starts[:-1]] = len(words) + np.arange(len(firsts))
-            words += firsts
-        values = self._values(words)
+        codes = flat.indices.to_numpy()
+        values = self._values(flat.dictionary.to_pylist())
         sizes = np.fromiter(map(len, values), np.int64, len(values)) >> 2
         begin = np.cumsum(sizes) - sizes
         ids = np.frombuffer(b"".join(values), np.uint32)
         own = sizes[codes]
         ends = np.cumsum(own)
-        ids = ids[np.repeat(begin[codes] - (ends - own), own) + np.arange(ends[-1])]
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        places = np.repeat((begin[codes] - (ends - own)).astype(kind), own)
+        places += np.arange(ends[-1], dtype=kind)
+        ids = ids[places]
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
         out = np.split(ids, np.concatenate([[0], ends])[starts[1:-1]])
-        for row, text in zip(uncut.tolist(), whole if len(uncut) else [], strict=True):
+        for row, text in zip(uncut.tolist(), whole, strict=True):
             out[row] = np.frombuffer(self._encode([text])[0], np.uint32)
         return out
 
+    def _cut(self, column: pa.Array) -> pa.Array:
+        """Lists of segments; with lead each keeps the space before it."""
+        if not self._lead:
+            plain = pc.replace_substring(column, "\n", " ")
+            return pc.split_pattern(pc.replace_substring_regex(plain, _MARK, r"\1 \2\3"), " ")
+        column = pc.replace_substring_regex(column, _MARK, rf"\1{_CUT}\2\3")
+        touched = pc.match_substring_regex(column, _TOUCHED_LINE_END)
+        lines = pc.replace_substring(column, "\n", f"{_CUT}\n{_CUT}")
+        return pc.split_pattern(pc.replace_substring(pc.if_else(touched, column, lines), " ", f"{_CUT} "), _CUT)
+
     def _values(self, words: list[str]) -> list[bytes]:
-        """The words' ids; short words stay known."""
-        known = self._known
+        """The segments' ids; short ones stay known."""
+        known, older = self._known, self._older
         values = list(map(known.get, words))
         new = [i for i, value in enumerate(values) if value is None]
-        made_of = {words[i]: atoms(words[i], self._lead) for i in new}
-        wanted = list({a for parts in made_of.values() for a in parts if a not in known})
-        known.update(zip(wanted, self._encode(wanted), strict=True))
-        known.update([(w, b"".join([known[a] for a in parts])) for w, parts in made_of.items() if len(parts) > 1])
         for i in new:
-            values[i] = known[words[i]]
-        for word in {*wanted, *made_of}:
-            if len(word) > MAX_LENGTH or "\n" in word[1:]:
-                del known[word]
+            values[i] = older.get(words[i])
+        known.update([(words[i], values[i]) for i in new if values[i] is not None])
+        new = [i for i in new if values[i] is None]
+        for i, value in zip(new, self._encode([words[i] for i in new]), strict=True):
+            values[i] = value
+        met, places = self._met, [hash(words[i]) & _MET_MASK for i in new]
+        known.update([(words[i], values[i]) for i, p in zip(new, places, strict=True)
+                      if met[p] + 1 >= self._meetings and len(words[i]) <= MAX_LENGTH])
+        for p in places:
+            met[p] = 1
+        if 2 * len(known) > self._max_cached:
+            self._older, self._known, self._met = known, {}, bytearray(_MET_MASK + 1)
         return values
 
 
