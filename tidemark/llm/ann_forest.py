@@ -148,9 +148,9 @@ def _searched(k: int, trees: int, min_candidates: int, min_share: float) -> Call
             ids, own_rows, vectors = left["vec_id"].to_numpy(), left["row"].to_numpy(), _matrix(left["vector"])
             forest = Forest(_chars(left["chars"], trees))
             wanted = max(min_candidates, int(min_share * len(ids)))
-            queries, vector_of = right["vec_id"].to_numpy(), _matrix(right["vector"])
-            row_of = right["row"].to_numpy()
-            for q, rows in enumerate(forest.candidates(_chars(right["chars"], trees), wanted)):
+            queries, vector_of = right["q_vec_id"].to_numpy(), _matrix(right["q_vector"])
+            row_of = right["q_row"].to_numpy()
+            for q, rows in enumerate(forest.candidates(_chars(right["q_chars"], trees), wanted)):
                 rows = rows[own_rows[rows] != row_of[q]]
                 distance = np.sqrt(((vectors[rows] - vector_of[q]) ** 2).sum(axis=1))
                 if len(rows) > k:
@@ -188,7 +188,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = TREES
     index = rows.withColumn("forest", spread("forest", forests)).withColumn("block", each(query_blocks))
     queries = rows.where(is_query).withColumn("block", spread("block", query_blocks)).withColumn(
         "forest", each(forests))
-    found = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(
+    # names of their own: both sides come from the same rows, and columns must not be taken for each other
+    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    found = index.groupBy(*keys).cogroup(queries.groupBy(*[f"q_{c}" for c in keys])).applyInArrow(
         _searched(k, trees, min_candidates, min_share),
         "query_id long, vec_id long, score double, query_row long")
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id"))

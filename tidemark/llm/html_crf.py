@@ -351,8 +351,12 @@ def labelled(pages: list[str], seed: int = SEED) -> list[tuple[list[Block], list
 
 def fit(pages: DataFrame, n_pages: int = TRAIN_PAGES, max_chars: int = TRAIN_CHARS) -> Model:
     """Train on the bounded sample."""
-    rows = (pages.select(F.xxhash64("page_id", "url").alias("draw"), F.col("html").cast("string").alias("html"))
-            .where((F.length("html") <= max_chars) & F.contains(F.lower("html"), F.lit("<article")))
+    fit_for_it = (F.length("html") <= max_chars) & F.contains(F.lower("html"), F.lit("<article"))
+    drawn = (pages.select(F.xxhash64("page_id", "url").alias("draw"), F.col("html").cast("string").alias("html"))
+             .where(fit_for_it))
+    # a threshold on the draw lets about four times the sample through, so that no task sends more than its share
+    share = min(1.0, 4 * n_pages / max(1, drawn.count()))
+    rows = (drawn.where(F.col("draw") < int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1.0 else F.lit(True))
             .orderBy("draw", "html").limit(n_pages).collect())
     examples = labelled([r["html"] for r in rows])
     longest = 4 * sorted(len(p) for p, _ in examples)[len(examples) // 2] + 20

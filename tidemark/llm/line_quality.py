@@ -76,7 +76,7 @@ def line_fails(line: str, words: list[str]) -> str | None:
     n = len(words)
     if n >= SHORT_LINE:
         shouted = sum(w.endswith(("!!", "??")) for w in words)
-        marked = sum(w[-1] in SYMBOLS and w[0] not in "<&" for w in words)
+        marked = sum(w[-1] in SYMBOLS and w[0].isalnum() for w in words)
         if 3 * max(shouted, marked) > n or 2 * max(Counter(words).values()) > n:
             return "punctuation"
         if 10 * sum(a == b for a, b in zip(words, words[1:], strict=False)) > 3 * n:
@@ -84,7 +84,7 @@ def line_fails(line: str, words: list[str]) -> str | None:
     elif not line.rstrip().endswith(END_MARKS):
         return "punctuation"
     separators = len(_SEPARATORS.findall(line))
-    if separators >= 2 and n <= 6 * (separators + 1) and not line.rstrip().endswith("."):
+    if separators >= 2 and (3 * separators >= n or n <= 6 * (separators + 1) and not line.rstrip().endswith(".")):
         return "navigation"
     if n <= BOILERPLATE_WORDS and _STOCK.search(line):
         return "boilerplate"
@@ -106,15 +106,21 @@ def cleaned(text: str) -> tuple[str, int]:
 
 def measures(text: str) -> dict[str, int | bool]:
     """Base measures and both verdicts of one text."""
+    return judged(text)[0]
+
+
+def judged(text: str) -> tuple[dict[str, int | bool], str]:
+    """measures() and the text without its failing lines (as it is, if the base fails)."""
     words = text.encode().split()  # bytes split at 09-0D and 20
     lines = [line for line in text.split("\n") if line.strip(WHITE)]
     repeats = repeated_words(words)
     base_failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * len(words)
+    clean, words_kept = (text, 0) if base_failed else cleaned(text)
     n_line_words = sum(len(line.split()) for line in lines)
     return {"n_words": len(words), "word_chars": len(text) - sum(map(text.count, WHITE)),
             "n_symbols": sum(map(text.count, SYMBOLS)), "n_dup_lines": len(lines) - len(set(lines)),
             "n_repeat_words": repeats, "base_failed": base_failed,
-            "kept": not base_failed and cleaned(text)[1] >= MIN_KEPT_SHARE * n_line_words}
+            "kept": not base_failed and words_kept >= MIN_KEPT_SHARE * n_line_words}, clean
 
 
 _SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -143,9 +149,9 @@ def keep_clean(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stay = [measures(t)["kept"] for t in texts(batch.column(at))]
-            batch = batch.filter(pa.array(stay, pa.bool_()))
-            clean = pa.array([cleaned(t)[0] for t in texts(batch.column(at))], pa.string())
-            yield batch.set_column(at, "text", clean)
+            verdicts = [judged(t) for t in texts(batch.column(at))]
+            stay = pa.array([v["kept"] for v, _ in verdicts], pa.bool_())
+            clean = pa.array([t if v["kept"] else None for v, t in verdicts], pa.string())
+            yield batch.set_column(at, "text", clean).filter(stay)
 
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_SCORE = 0.6
+MIN_SCORE = 0.65
 CONTEXT = 40
 
 
@@ -120,6 +120,7 @@ def _parts(kind: Kind, text: Column) -> Column:
                         F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("match"))
 
 
+_BLOCK = 256
 _SPAN = "struct<start: int, kind: int, end: int>"
 
 
@@ -138,13 +139,33 @@ def _step(number: int, text: Column) -> Callable[[Column, Column], Column]:
     return step
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _walk(number: int, text: Column) -> Callable[[Column], Column]:
+    """Spans of all parts, block by block: an array that grows entry by entry is copied each time."""
+
+    def walk(parts: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(_BLOCK))
+        block = lambda i: F.slice(parts, i + 1, F.lit(_BLOCK))
+        size = lambda p: F.length(p["piece"]) + F.coalesce(F.length(p["match"]), F.lit(0))
+        sizes = F.transform(blocks, lambda i: F.aggregate(block(i), F.lit(0), lambda at, p: at + size(p)))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+        none = F.array().cast(f"array<{_SPAN}>")
+        return _bound(starts, lambda starts: F.flatten(F.transform(blocks, lambda i, k: F.aggregate(
+            block(i), F.struct(F.get(starts, k).alias("at"), none.alias("spans")), _step(number, text),
+            lambda state: state["spans"]))))
+
+    return walk
+
+
 def spans(text: Column) -> Column:
     """array<start, kind (its place in KINDS), end> in order of start, then kind."""
     none = F.array().cast(f"array<{_SPAN}>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    found = [F.when(F.rlike(text, F.lit(kind.needs)), F.aggregate(
-        _parts(kind, text), zero, _step(number, text), lambda state: state["spans"])).otherwise(none)
-        for number, kind in enumerate(KINDS)]
+    found = [F.when(F.rlike(text, F.lit(kind.needs)), _bound(_parts(kind, text), _walk(number, text))).otherwise(none)
+             for number, kind in enumerate(KINDS)]
     return F.array_sort(F.concat(*found))
 
 
@@ -172,7 +193,7 @@ def _replaced(kind: Kind) -> Callable[[Column], Column]:
     def replaced(part: Column) -> Column:
         # context of an added kind: the piece before it
         keep = _kept(kind, F.concat(part["piece"], part["match"]), part["match"], F.length(part["piece"]))
-        return F.concat(part["piece"], F.when(keep, F.lit(f"<{kind.name.upper()}>")).otherwise(
+        return F.concat(part["piece"], F.when(part["match"].isNotNull() & keep, F.lit(f"<{kind.name.upper()}>")).otherwise(
             F.coalesce(part["match"], F.lit(""))))
 
     return replaced
