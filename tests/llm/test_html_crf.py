@@ -1,0 +1,75 @@
+import numpy as np
+import pytest
+
+from tidemark.llm import html_crf as H
+
+PAGE = ('<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var a="<p>no</p>"</script></head><body>'
+        '<nav><ul><li><a href="/a">Menu</a></li><li><a href="/b">More</a></li></ul></nav><!-- note --><div class="ad">'
+        'Buy this fine thing now, today.</div><article><h1>A title &amp; more</h1><p>First &lt;paragraph&gt; of\n the'
+        '  <b>article</b>, which is long enough to read.<p>Second one, unclosed, &eacute;t&eacute; and so on and on.'
+        '<br>After the break there is another line of it.</article><footer>&copy; me</footer></body></html>')
+TEXT = ("A title & more\nFirst <paragraph> of the article, which is long enough to read.\n"
+        "Second one, unclosed, été and so on and on.\nAfter the break there is another line of it.")
+
+
+@pytest.fixture(scope="module")
+def model():
+    return H.train([(p, y) for p, y in H.labelled([]) if p])
+
+
+def test_blocks():
+    found = H.blocks(PAGE)
+    assert [b.text for b in found] == ["Menu", "More", "Buy this fine thing now, today.", *TEXT.split("\n"), "© me"]
+    assert [b.link_chars > 0 for b in found][:3] == [True, True, False]
+
+
+@pytest.mark.parametrize("broken", ["", "<", "<p", "</", "<p>x</div></p></p>", "<script>never closed <p>x", "<!-- open",
+                                    "<a href='x>y", "<p class=\"a>b", "a < b and c > d", "<ul><li>a<li>b</ul>", "&#0;&bogus;&amp"])
+def test_broken_markup(broken, model):
+    H.main_text(broken, model)
+
+
+def test_long_pages_are_read_in_proportion(model):
+    text = H.main_text("<article>" + "<p>Word after word makes a sentence here.</p>" * 20_000, model)
+    assert text.count("\n") == 19_999
+    H.main_text("<div \"" * 5_000 + "'" * 5_000, model)
+
+
+def test_hidden_and_raw():
+    page = '<p hidden>a</p><div style="display: none"><p>b</p></div><noscript>c</noscript><p>d</p><textarea>e</textarea>'
+    assert [b.text for b in H.blocks(page)] == ["d"]
+
+
+def test_viterbi_is_the_best_path(model):
+    rng = np.random.default_rng(2)
+    small = H.Model({f"f{i}": float(w) for i, w in enumerate(rng.normal(size=6))},
+                    tuple(map(tuple, rng.normal(size=(2, 2)).tolist())))
+    for _ in range(30):
+        n = int(rng.integers(1, 7))
+        page = [H.Block("x", (), 0, [f"f{int(i)}" for i in rng.integers(0, 6, 2)]) for _ in range(n)]
+
+        def score(labels):
+            own = sum(sum(small.weights[f] for f in b.features) for b, y in zip(page, labels, strict=True) if y)
+            return own + sum(small.pairs[a][b] for a, b in zip(labels, labels[1:], strict=False))
+
+        best = max(score([k >> i & 1 for i in range(n)]) for k in range(2 ** n))
+        assert score([int(y) for y in small.decode(page)]) == pytest.approx(best)
+
+
+def test_held_out_layouts(model):
+    right = total = 0
+    for page, labels in H.labelled([], seed=99):
+        right += sum(int(a) == b for a, b in zip(model.decode(page), labels, strict=True))
+        total += len(labels)
+    assert right / total > 0.97
+
+
+def test_extract(spark, model):
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", ""), (None, "w", "<p>" + "word, " * 50_000 + "end.</p>")]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in H.extract(pages, model).collect()))
+    assert [g[:3] for g in got[1:]] == [(1, "u", TEXT), (1, "u", TEXT), (2, "", ""), (3, "v", "")]
+    assert all(len(t) == n for _, _, t, n in got)
+    fitted = H.extract(pages.where("page_id = 1")).collect()
+    assert {r.text for r in fitted} == {TEXT}
+    assert H.extract(pages.where("false")).count() == 0
