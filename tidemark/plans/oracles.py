@@ -601,6 +601,12 @@ SELECT 'MATCH' AS verdict, count(*) AS row_count FROM policy_src
 UNION ALL SELECT 'CLOUD_ROW', count(*) FROM policy_tgt WHERE abs(policy_id) % 2 = 1""")
 
 # -- reverse sync -------------------------------------------------------------------------------------
+oracle("stream_balance", "kinds rows_", """
+SELECT ending, count(*) AS line_count FROM (
+  SELECT kind || '_ROW' AS ending FROM kinds WHERE kind IN ('SHORT', 'OPEN_QUOTE')
+  UNION ALL SELECT CASE WHEN src_table = '' OR src_schema = '' THEN 'UNADDRESSED_ROW'
+                        WHEN src_table NOT IN ('policy', 'claim') THEN 'UNMAPPED_ROW' ELSE 'OUTCOME' END FROM rows_)
+GROUP BY ending""")
 oracle("reverse_feed", "feed", "SELECT seq, op, pk, payload, 'CLOUD' AS datasync_flag FROM feed")
 oracle("loop_free", "feed", """
 SELECT op, count(*) FILTER (op = 'I') AS blocked, CAST(0 AS BIGINT) AS inserts_returning FROM feed GROUP BY op""")
