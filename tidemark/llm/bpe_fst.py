@@ -8,7 +8,7 @@ can still begin there, which a token's length bounds.  On a byte the transducer
 moves to the next state and sends the tokens on the path that all places alive
 share: whatever follows, they stay.  At the end of a piece it sends the rest.
 
-States and moves are built when first needed.  Pieces recur, so a worker also
+States and moves are built when needed again.  Pieces recur, so a worker also
 keeps the ids of segments between spaces.  All tables start anew at a limit;
 results never depend on it.
 
@@ -37,6 +37,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.segments import SegmentCache
 
 MAX_STATES = 400_000
+#: Here a look-up saves more than in the library, so every segment is kept.
+MAX_SEGMENTS = 800_000
+_BYTES = [bytes((b,)) for b in range(256)]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,7 +53,10 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.starts = {token[:n] for token in ranks for n in range(1, len(token))}
+        # bytes that are a token (1), begin a longer one (2) or both (3)
+        self.kinds = {token[:n]: 2 for token in ranks for n in range(1, len(token))}
+        for token in ranks:
+            self.kinds[token] = self.kinds.get(token, 0) | 1
         self._split: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._fits: dict[tuple[bytes, bytes], bool] = {}
 
@@ -120,17 +126,19 @@ class Transducer:
     def _reset(self) -> None:
         self._merges.forget()
         self._numbers: dict[tuple[bytes, bytes], int] = {}
-        self._states: list[tuple[bytes, bytes, list[bytes | None]]] = []
+        self._states: list[tuple[bytes, bytes, list[bytes | None], list[int]]] = []
         self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._rest: dict[int, tuple[int, ...]] = {}
-        self._number(b"", b"", [b""])
+        self._wanted: set[int] = set()
+        self._number(b"", b"", [b""], [0])
 
-    def _number(self, last: bytes, pending: bytes, tokens: list[bytes | None]) -> int:
+    def _number(self, last: bytes, pending: bytes, tokens: list[bytes | None], alive: list[int]) -> int:
         key = (last, pending)
-        if key not in self._numbers:
-            self._numbers[key] = len(self._states)
-            self._states.append((last, pending, tokens))
-        return self._numbers[key]
+        number = self._numbers.get(key)
+        if number is None:
+            number = self._numbers[key] = len(self._states)
+            self._states.append((last, pending, tokens, alive))
+        return number
 
     def _ids(self, tokens: list[bytes | None], place: int) -> tuple[int, ...]:
         """Ids of the tokens on the way to a place."""
@@ -140,53 +148,73 @@ class Transducer:
             place -= len(tokens[place])
         return tuple(reversed(way))
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, last: bytes, pending: bytes, tokens: list[bytes | None], alive: list[int],
+              byte: int) -> tuple[tuple[bytes, bytes, list[bytes | None], list[int]], tuple[int, ...]]:
+        """What a state becomes on a byte, and the ids sent."""
         merges = self._merges
-        last, pending, tokens = self._states[state]
-        pending += bytes((byte,))
-        end = len(pending)
-        alive, found = {end}, None
-        for begin in range(end):
-            before = tokens[begin] if begin else last
-            if before is None:
-                continue
+        pending += _BYTES[byte]
+        end, found, kinds = len(pending), None, merges.kinds
+        live = []
+        for begin in alive:
             token = pending[begin:]
-            if token in merges.starts:
-                alive.add(begin)
-            if found is None and token in merges.ranks and (
-                    merges.fits(before, token) if before else merges.reachable(token)):
-                found = token
+            kind = kinds.get(token, 0)
+            if kind & 2:
+                live.append(begin)
+            if kind & 1 and found is None:
+                before = tokens[begin] if begin else last
+                if merges.fits(before, token) if before else merges.reachable(token):
+                    found = token
         tokens = [*tokens, found]
-        while len(alive) > 1:  # to the place that all of them come through
-            latest = max(alive)
-            alive.remove(latest)
-            alive.add(latest - len(tokens[latest]))
-        cut = alive.pop()
+        live.append(end)
+        cut = live[0]
+        if len(live) > 1 and cut:  # to the place that all of them come through
+            places = set(live)
+            while len(places) > 1:
+                latest = max(places)
+                places.remove(latest)
+                places.add(latest - len(tokens[latest]))
+            cut = places.pop()
         if not cut:
-            return self._number(last, pending, tokens), ()
-        # places whose tokens begin before the cut are dead
-        rest = [b"", *[t if t is not None and len(t) <= i else None for i, t in enumerate(tokens[cut + 1:], 1)]]
-        return self._number(tokens[cut], pending[cut:], rest), self._ids(tokens, cut)
+            return (last, pending, tokens, live), ()
+        return ((tokens[cut], pending[cut:], [b"", *tokens[cut + 1:]], [p - cut for p in live]),
+                self._ids(tokens, cut))
 
     def ids(self, piece: bytes) -> list[int]:
-        if len(self._states) > self._max:
+        """Along known moves as far as they go.
+
+        A move is built when it is wanted for the second time: most pieces of a
+        large text occur once, and their last bytes are walked without a trace.
+        """
+        if len(self._states) + len(self._wanted) // 4 > self._max:
             self._reset()
-        state, out, moves = 0, [], self._moves
-        for byte in piece:
+        state, out, moves, wanted = 0, [], self._moves, self._wanted
+        for at, byte in enumerate(piece):
             key = state << 8 | byte
             move = moves.get(key)
             if move is None:
-                move = moves[key] = self._move(state, byte)
+                if key not in wanted:
+                    wanted.add(key)
+                    return out + self._walk(self._states[state], piece[at:])
+                own, sent = self._step(*self._states[state], byte)
+                move = moves[key] = self._number(*own), sent
             state, sent = move
             if sent:
                 out.extend(sent)
         rest = self._rest.get(state)
         if rest is None:
-            _, _, tokens = self._states[state]
+            tokens = self._states[state][2]
             rest = self._rest[state] = self._ids(tokens, len(tokens) - 1)
         out.extend(rest)
         return out
 
+    def _walk(self, state: tuple, piece: bytes) -> list[int]:
+        out: list[int] = []
+        for byte in piece:
+            state, sent = self._step(*state, byte)
+            out.extend(sent)
+        out.extend(self._ids(state[2], len(state[2]) - 1))
+        return out
+
 
 class Encoder:
     """batch(column): token ids of whole texts, every new piece by the transducer."""
@@ -194,7 +222,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self._transducer = Transducer(Merges(ranks))
         self._pieces = regex.compile(pattern)
-        self.batch = SegmentCache(self._encode, lead=True).batch
+        self.batch = SegmentCache(self._encode, lead=True, max_cached=MAX_SEGMENTS, meetings=1).batch
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         pieces, ids = self._pieces.findall, self._transducer.ids
