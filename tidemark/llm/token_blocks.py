@@ -2,8 +2,8 @@
 
 A file holds the ids of consecutive documents.  Ids are cut into blocks of 128.
 Each block stores its minimum, packs the differences to it at the width that
-covers a given percentile of them, and keeps the high bits of the few wider ones
-in an exception list.  The file starts with an index of its block starts, so one
+covers a percentile of them (of the given ones, that which makes the block
+smallest), and keeps the high bits of the few wider ones in an exception list.  The file starts with an index of its block starts, so one
 document can be read without unpacking the rest.
 
 Layout, little-endian:
@@ -38,7 +38,8 @@ from tidemark.llm.common import shared_path
 from tidemark.llm.segments import shared_encoder
 
 BLOCK = 128
-PERCENTILE = 0.9
+#: A block is packed at the width that covers one of these shares of its values, whichever makes it smallest.
+PERCENTILES = (0.8, 0.9, 0.95, 1.0)
 PART_IDS = 1 << 20
 DOCS_PER_FILE = 4096
 #: File bounds are held by the driver; with more documents files get longer.
@@ -48,11 +49,17 @@ _MAGIC = b"PFB1"
 _BLOCK_HEAD = 6
 
 
+_SHORT_WIDTHS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
+
+
 def _widths(differences: np.ndarray) -> np.ndarray:
-    return np.ceil(np.log2(differences + 1.0)).astype(np.uint8)
+    """Bits of every value."""
+    if differences.max() < 1 << 16:
+        return _SHORT_WIDTHS[differences]
+    return np.frexp(differences.astype(np.float64))[1].astype(np.uint8)
 
 
-def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, bytes]:
+def pack_blocks(ids: np.ndarray, percentiles: tuple[float, ...] = PERCENTILES) -> tuple[np.ndarray, bytes]:
     """Starts of the blocks (with the end) and their bytes.  The last block is padded with its last id."""
     n = -(-len(ids) // BLOCK)
     if not n:
@@ -61,11 +68,15 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.nda
     lowest = padded.min(axis=1)
     diff = padded - lowest[:, None]
     bits = _widths(diff)
-    rank = max(0, int(np.ceil(percentile * BLOCK)) - 1)
-    width = np.partition(bits, rank, axis=1)[:, rank]
+    ranks = [max(0, int(np.ceil(p * BLOCK)) - 1) for p in percentiles]
+    choices = np.partition(bits, ranks, axis=1)[:, ranks]
+    outside = np.stack([(bits > choices[:, k, None]).sum(axis=1) for k in range(len(ranks))], axis=1)
+    cost = choices.astype(np.int64) * (BLOCK // 8) + 5 * outside
+    best = cost.argmin(axis=1)
+    width = choices[np.arange(n), best]
     wide = bits > width[:, None]
     exceptions = wide.sum(axis=1)
-    sizes = _BLOCK_HEAD + width.astype(np.int64) * (BLOCK // 8) + 5 * exceptions
+    sizes = _BLOCK_HEAD + cost[np.arange(n), best]
     starts = np.concatenate([[0], np.cumsum(sizes)])
     out = np.zeros(starts[-1], np.uint8)
     at = starts[:-1]
