@@ -5,7 +5,6 @@ from pathlib import Path
 
 import public_tokenizers
 import pytest
-from test_pii_spans import PLAIN, valid  # noqa: F401
 from test_simhash_ball import plain_components, plain_fingerprint
 from tokenizers import Tokenizer
 
