@@ -70,3 +70,12 @@ def test_discovery(spark, tmp_path):
     assert sorted(r.file_size for r in got) == [1, 2]
     assert len({r.event_id for r in got}) == 2 and all(r.retry_count == 0 and not r.is_retry for r in got)
     assert "content" not in files._jdf.queryExecution().executedPlan().toString()  # no file is opened
+
+
+def test_long_quoted_fields(spark):
+    texts = ["x" * 1_000_000, '""' * 5_000, "a|b" * 2_000, ""]
+    lines = [f'I|t|s|2026-01-01|"{t}"|end' for t in texts] + ['I|t|s|2026-01-01|"' + "y" * 100_000]
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "n int, line string")
+    rows = {r.n: r for r in cdc.classify(df).collect()}
+    assert [rows[i].kind for i in range(5)] == [cdc.DATA] * 4 + [cdc.OPEN_QUOTE]
+    assert [rows[i].cols[4:] for i in range(4)] == [[t.replace('""', '"'), "end"] for t in texts]

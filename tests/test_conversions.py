@@ -73,3 +73,14 @@ def test_origin_uuid_ttl_and_nulls(spark):
     assert one.a == 1704067200 + 90 * 86400 and one.b == 1704067200 + 180 * 86400
     assert one.m == {"x": "1"}
     assert date(1900, 1, 1).isoformat() == conv.FALLBACK_DATE
+
+
+def test_numbers_too_large_are_refused_and_text_is_zero(spark):
+    df = spark.createDataFrame([(t,) for t in ("1e30", "-" + "9" * 30, "abc", "nan", "12.5", None)], "v string")
+    value = conv.convert("NULL_TO_ZERO", F.col("v"))
+    rows = df.select("v", value.alias("n"), conv.cast_fails(value, "NUMERIC").alias("bad"),
+                     conv.unparsable_number(F.col("v")).alias("warn")).collect()
+    got = {r.v: (r.bad, r.warn) for r in rows}
+    assert got == {"1e30": (True, False), "-" + "9" * 30: (True, False), "abc": (False, True), "nan": (False, True),
+                   "12.5": (False, False), None: (False, False)}
+    assert {r.v: float(r.n) for r in rows if r.v in ("abc", "12.5")} == {"abc": 0.0, "12.5": 12.5}

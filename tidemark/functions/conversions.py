@@ -17,7 +17,7 @@ Builder = Callable[[Column, "str | None"], Column]
 # methods whose column is left to the target.
 NULL_TEXT = "NULL"
 FALLBACK_DATE = "1900-01-01"
-LARGEST_NUMBER = "9" * 28 + "." + "9" * 10
+LARGEST_NUMBER = "9" * 27
 EXCLUDED_METHODS = frozenset({"SKIP", "UUID_GENERATE"})
 
 # Fixed value: the characters that count as white space at the ends of a field.
