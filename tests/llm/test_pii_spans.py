@@ -88,3 +88,32 @@ def test_no_python_on_the_main_path(spark):
     rows = spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")
     for df in (P.report(rows), P.redact(rows)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def without(text, listed):
+    """The text by plain steps: stretches of overlapping spans give way to the kind of the first."""
+    out, at = "", 0
+    for kind, a, b in [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in listed.split(",") if s)]:
+        if a >= at:
+            out += text[at:a] + f"<{kind.upper()}>"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_redact_takes_out_what_is_reported(spark):
+    iban = "DE89 3704 0044 0532 0130 00"
+    texts = ["219-09-9999 (SSN)", "SSN: 219-09-9998, 219-09-9999", "219-09-9997 é😀 or 219-09-9996 are social security numbers",
+             f"{iban} and bank {iban}, a@1.2.3.4 +4111 1111 1111 1111", "no ssn", "1.2.3.4", "", "😀 a@b.c 😀 1.2.3.4 é",
+             "219-09-9999, " * 3 + "x" * 50 + " ssn 219-09-9995", "a@b.c " * 256, "a@b.c " * 257 + "end", "x@1.2.3.4 " * 700]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in P.redact(rows).collect()}
+    for i, (text, report) in enumerate(zip(texts, reported(spark, texts), strict=True)):
+        assert got[i] == without(text, report[5])
+        for _, a, b in [s.split(":") for s in report[5].split(",") if s]:
+            assert text[int(a):int(b)] not in got[i]
+    assert got[0] == "<SSN> (SSN)" and got[1] == "SSN: <SSN>, <SSN>" and "219" not in got[2]
+
+
+def test_redact_long_texts(spark):
+    rows = spark.createDataFrame([(1, "1.1.1.1 " * 125_000)], "doc_id long, text string")
+    assert P.redact(rows).first().text == "<IP> " * 125_000

@@ -189,24 +189,47 @@ def report(docs: DataFrame) -> DataFrame:
                         listed(F.col("found")).alias("spans"))
 
 
-def _replaced(kind: Kind) -> Callable[[Column], Column]:
-    def replaced(part: Column) -> Column:
-        # context of an added kind: the piece before it
-        keep = _kept(kind, F.concat(part["piece"], part["match"]), part["match"], F.length(part["piece"]))
-        return F.concat(part["piece"], F.when(part["match"].isNotNull() & keep, F.lit(f"<{kind.name.upper()}>")).otherwise(
-            F.coalesce(part["match"], F.lit(""))))
+def _rewritten(text: Column, found: Column) -> Column:
+    """The text with every stretch of overlapping spans replaced by the kind of its first span.
 
-    return replaced
+    Block by block: what a block needs of the text is cut from it once.  `at` is how
+    far the text is done, the largest end so far.
+    """
+    marks = F.array(*[F.lit(f"<{k.name.upper()}>") for k in KINDS])
+    length = F.length(text)
+    starts = F.sequence(F.lit(0), F.size(found) - 1, F.lit(_BLOCK))
+    block = lambda i: F.slice(found, i + 1, F.lit(_BLOCK))
+    done = F.aggregate(starts, F.array(F.lit(0)), lambda ends, i: F.concat(ends, F.array(
+        F.greatest(F.element_at(ends, -1), F.array_max(F.transform(block(i), lambda x: x["end"]))))))
+
+    def pieces(spans: Column, first: Column, last: Column) -> Column:
+        """The text from first to last, in which all spans of a block begin."""
+        def step(part: Column) -> Callable[[Column, Column], Column]:
+            return lambda state, x: F.struct(
+                F.greatest(state["at"], x["end"]).alias("at"),
+                F.when(x["start"] >= state["at"], F.concat(state["out"], F.array(
+                    F.substr(part, state["at"] - first + 1, x["start"] - state["at"]), F.get(marks, x["kind"]))))
+                .otherwise(state["out"]).alias("out"))
+
+        none = F.array().cast("array<string>")
+        whole = lambda part: F.aggregate(
+            spans, F.struct(first.alias("at"), none.alias("out")), step(part), lambda state: F.concat(
+                state["out"], F.array(F.substr(part, state["at"] - first + 1, F.greatest(last - state["at"], F.lit(0))))))
+        return _bound(F.substr(text, first + 1, F.greatest(last - first, F.lit(0))), whole)
+
+    # a block's text reaches to where the next one's first span begins
+    begin = lambda i: F.get(found, i)["start"]
+    return _bound(done, lambda done: F.array_join(F.flatten(F.transform(starts, lambda i, k: pieces(
+        block(i), F.when(i > 0, F.greatest(F.get(done, k), begin(i))).otherwise(F.lit(0)),
+        F.coalesce(begin(i + _BLOCK), length)))), ""))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows with every kept match in text replaced by its kind in angle brackets, kind after kind.
+    """The rows with every span of text that report() names replaced by its kind in angle brackets.
 
-    Null stays null.
+    The spans are those of the text as it comes in.  Overlapping ones are replaced
+    together, by the kind of the first.  Null stays null.
     """
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    for kind in KINDS:
-        text = F.col("text")
-        docs = docs.withColumn("text", F.when(F.rlike(text, F.lit(kind.needs)), F.array_join(
-            F.transform(_parts(kind, text), _replaced(kind)), "")).otherwise(text))
-    return docs
+    text = F.col("text")
+    return docs.withColumn("text", text.cast("string")).withColumn("text", _bound(
+        spans(text), lambda found: F.when(F.size(found) > 0, _rewritten(text, found)).otherwise(text)))
