@@ -117,3 +117,18 @@ def test_redact_takes_out_what_is_reported(spark):
 def test_redact_long_texts(spark):
     rows = spark.createDataFrame([(1, "1.1.1.1 " * 125_000)], "doc_id long, text string")
     assert P.redact(rows).first().text == "<IP> " * 125_000
+
+
+def test_account_codes_before_other_words(spark):
+    iban, other = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"IBAN {iban} I paid", f"IBAN {iban} BIC COBADEFF", f"IBAN {iban} 2024-01", f"{iban} BIC COBADEFFXXX",
+             f"{iban} {other}", f"AB12 CDEF GHIJ KLMN {iban}", "GB82WEST12345698765432 OK", f"{iban}BIC", f"x {iban} " * 300]
+    listed = [r[5].split(",") for r in reported(spark, texts)]
+    got = [[s for s in r if s.startswith("iban")] for r in listed]
+    assert got[:4] == [["iban:5:32"], ["iban:5:32"], ["iban:5:32"], ["iban:0:27"]]
+    assert got[4:7] == [["iban:0:27", "iban:28:55"], ["iban:20:47"], ["iban:0:22"]] and got[7] == []
+    assert got[8] == [f"iban:{30 * i + 2}:{30 * i + 29}" for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    redacted = [r.text for r in P.redact(rows).orderBy("doc_id").collect()]
+    assert redacted[:2] == ["IBAN <IBAN> I paid", "IBAN <IBAN> BIC COBADEFF"]
+    assert redacted[4] == "<IBAN> <IBAN>" and all(iban not in r and other not in r for r in redacted[:7] + redacted[8:])

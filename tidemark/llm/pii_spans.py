@@ -13,6 +13,10 @@ Base kinds (email, ip, card, phone) are kept if their validator passes.  Added
 kinds are kept if their score reaches MIN_SCORE: a proposal has its kind's score,
 a passed checksum and a context word within CONTEXT characters add to it.
 
+An account code may be followed by words that could belong to it, so its match is
+a proposal at every place where a code may begin, and the longest part of it that
+ends at the end of a group and passes mod-97 is the code.
+
 Cases: null or empty text has no spans (the digest is that of the empty string);
 overlapping spans of different kinds are all reported; repeated rows are
 separate; an empty table gives no rows.
@@ -53,6 +57,15 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
+def _code(match: Column) -> Column:
+    """The longest part, whole groups of a shape that a code can have, that passes mod-97; else the whole match."""
+    groups = F.split(match, " ")
+    parts = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)),
+                        lambda n: F.array_join(F.slice(groups, 1, n), " "))
+    passed = F.filter(parts, lambda p: (F.length(F.replace(p, F.lit(" "), F.lit(""))) >= 15) & mod97(p))
+    return F.coalesce(F.get(passed, F.lit(0)), match)
+
+
 def _valid_ip(match: Column) -> Column:
     part = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
     return F.forall(F.split(match, r"\."),
@@ -77,6 +90,8 @@ class Kind:
     score: float = 1.0
     checked: float = 0.0  # what a passed validator adds
     words: tuple[str, ...] = ()
+    part: Callable[[Column], Column] | None = None  # what of a match is the proposal (with step)
+    step: int | None = None  # characters the pattern takes; the match is then its group 1, which looks ahead
 
 
 # The base patterns as the contract states them (comment), and as they are run.
@@ -92,8 +107,10 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _valid_phone, r"\+[0-9]"),
 )
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}(?![A-Za-z0-9])", mod97,
-         "[A-Z][0-9][0-9]", score=0.3, checked=0.4, words=("iban", "account", "konto", "compte", "cuenta", "bank")),
+    # [A-Z]{2}[0-9]{2}([\x20]?[A-Z0-9]){11,30} between characters that are no letters or digits, wherever one begins
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}",
+         mod97, "[A-Z][0-9][0-9]", score=0.3, checked=0.4,
+         words=("iban", "account", "konto", "compte", "cuenta", "bank"), part=_code, step=4),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda m: F.lit(False),
          "[0-9]-[0-9][0-9]-[0-9]", score=0.4, words=("ssn", "social security", "tax", "taxpayer")),
 )
@@ -117,7 +134,12 @@ def _kept(kind: Kind, text: Column, match: Column, start: Column) -> Column:
 def _parts(kind: Kind, text: Column) -> Column:
     """Pieces between matches, each with the match after it (null after the last)."""
     return F.arrays_zip(F.split(text, kind.pattern, -1).alias("piece"),
-                        F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("match"))
+                        F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1 if kind.step else 0)).alias("match"))
+
+
+def _taken(kind: Kind, match: Column) -> Column:
+    """Characters from a match's start to the next piece (null without match)."""
+    return F.when(match.isNotNull(), F.lit(kind.step)) if kind.step else F.length(match)
 
 
 _BLOCK = 256
@@ -130,11 +152,13 @@ def _step(number: int, text: Column) -> Callable[[Column, Column], Column]:
 
     def step(state: Column, part: Column) -> Column:
         start = state["at"] + F.length(part["piece"])
-        end = start + F.length(part["match"])
-        one = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        keep = part["match"].isNotNull() & _kept(kind, text, part["match"], start)
-        return F.struct(F.coalesce(end, start).alias("at"),
-                        F.when(keep, F.concat(state["spans"], F.array(one))).otherwise(state["spans"]).alias("spans"))
+        added = lambda match: F.when(
+            match.isNotNull() & _kept(kind, text, match, start),
+            F.concat(state["spans"], F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"),
+                                                      (start + F.length(match)).alias("end"))))).otherwise(state["spans"])
+        match = part["match"]
+        return F.struct((start + F.coalesce(_taken(kind, match), F.lit(0))).alias("at"),
+                        (_bound(kind.part(match), added) if kind.step else added(match)).alias("spans"))
 
     return step
 
@@ -150,7 +174,7 @@ def _walk(number: int, text: Column) -> Callable[[Column], Column]:
     def walk(parts: Column) -> Column:
         blocks = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(_BLOCK))
         block = lambda i: F.slice(parts, i + 1, F.lit(_BLOCK))
-        size = lambda p: F.length(p["piece"]) + F.coalesce(F.length(p["match"]), F.lit(0))
+        size = lambda p: F.length(p["piece"]) + F.coalesce(_taken(KINDS[number], p["match"]), F.lit(0))
         sizes = F.transform(blocks, lambda i: F.aggregate(block(i), F.lit(0), lambda at, p: at + size(p)))
         starts = F.aggregate(sizes, F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
         none = F.array().cast(f"array<{_SPAN}>")
