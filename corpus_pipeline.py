@@ -3,13 +3,12 @@
 Each stage works on all rows its predecessor kept and calls one operator:
 
 1. quality: lines that fail a rule go, documents that fail or lose too much go
-2. near_duplicates: of every group of near copies the document with the smallest id stays
+2. near_duplicates: of every group of near copies one row stays, that with the smallest id
 3. personal_data: confirmed spans are replaced by their kind
 4. packing: every document's tokens get places in sequences
 
 All but the last return the columns of documents, with n_chars of the text as it
-is now.  Rows with a null id belong to no group of their own and stay, as do
-other rows with the smallest id of a group.
+is now.  A null id comes after all others; of rows with the same id one stays.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ from tidemark.llm import line_quality, packing, pii_spans, simhash_ball
 from tidemark.llm.common import bounded, table, written
 from tidemark.llm.queries import END_ID, SEQUENCE_TOKENS
 
+_ROW = "_pipeline_row"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -40,9 +40,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded(spark)
-    classes = simhash_ball.near_duplicates(docs)
-    copies = classes.where("doc_id <> component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    # written, so that a row has the same number whenever it is read
+    rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    return rows.join(simhash_ball.first_rows(rows, _ROW), _ROW, "left_semi").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,16 @@ def test_like_a_plain_run(spark):
         lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
     assert lengths == {i: len(plain.encode(r.text, add_special_tokens=False).ids) + 1 for i, r in redacted.items()}
     assert C.run(spark, FOLDER).count() == tables[3].count()
+
+
+def test_one_row_of_a_group_stays(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(7, one), (7, one), (5, one), (5, one), (None, one), (None, two), (None, two), (3, three), (9, three), (9, two + " x"),
+            (11, " ".join(f"d{i}" for i in range(40))), (12, one), (12, " ".join(f"e{i}" for i in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = C.near_duplicates(spark, docs, "unused")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id or -1), r.text.split()[0]) for r in kept.collect())
+    near = plain_components([plain_fingerprint(t) for t in (two, two + " x")])[1] == 0
+    want = [(3, "c0"), (5, "a0"), (9, "b0"), (11, "d0"), (12, "e0")] + ([] if near else [(-1, "b0")])
+    assert got == sorted(want)

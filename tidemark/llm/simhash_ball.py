@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import raw_texts, written
@@ -64,16 +64,18 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every whole text."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, row: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) of every whole text, and the long column `row` if one is named."""
+    carried = [row] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t, words) for t in raw_texts(batch.column(1))], np.uint64)
-            yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(values.view(np.int64))})
+            yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(values.view(np.int64)),
+                                   **{name: batch.column(2) for name in carried}})
 
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carried)
+            .mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{name} long" for name in carried]])))
 
 
 def _kept(fps: np.ndarray, hole: int) -> np.ndarray:
@@ -215,13 +217,25 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _rooted(prints: DataFrame, first: Column) -> DataFrame:
+    """fp, first (the smallest `first` of its rows) and root (its component) of every distinct fingerprint."""
+    distinct = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    return written(distinct.join(components(links(distinct)).withColumnRenamed("node", "fp"), "fp", "left")
+                   .withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
     prints = written(fingerprints(docs, words), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    rooted = written(distinct.join(components(links(distinct)).withColumnRenamed("node", "fp"), "fp", "left")
-                     .withColumn("root", F.coalesce("root", "fp")), "rooted")
-    smallest = written(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")), "classes")
+    rooted = _rooted(prints, F.col("doc_id"))
+    smallest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "classes")
     classes = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_rows(docs: DataFrame, row: str, words: int = SHINGLE_WORDS) -> DataFrame:
+    """`row` (a number that tells rows apart) of one row a component: smallest doc_id, null last, then smallest row."""
+    prints = written(fingerprints(docs, words, row), "fingerprints")
+    rooted = _rooted(prints, F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", row))
+    return rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{row}").alias(row))
