@@ -73,3 +73,12 @@ def test_extract(spark, model):
     fitted = H.extract(pages.where("page_id = 1")).collect()
     assert {r.text for r in fitted} == {TEXT}
     assert H.extract(pages.where("false")).count() == 0
+
+
+def test_svg_that_closes_itself(model):
+    for icon in ("<svg class='icon'/>", '<SVG viewBox="0 0 1 1" />', "<svg/>"):
+        page = PAGE.replace("<article>", f"{icon}<article>{icon}").replace("<p>Second", f"{icon}<p>Second")
+        assert page.count(icon) == 3 and H.main_text(page, model) == TEXT
+        paired = page + "<svg><text>no</text></svg>"
+        assert [b.text for b in H.blocks(paired)] == [b.text for b in H.blocks(PAGE)]
+    assert H.blocks("<script/>a</script><style />b</style>") == []

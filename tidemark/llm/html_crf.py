@@ -149,10 +149,11 @@ def blocks(page: str) -> list[Block]:
                 pop()
             continue
         attributes = token[3] if token[2] else token[6]
-        if tag in _RAW:
+        alone = (attributes or "").endswith("/")
+        if tag in _RAW and not (alone and tag == "svg"):  # of these only svg may close itself
             finish = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
             at = finish.end() if finish else n
-        elif tag not in _VOID and not (attributes or "").endswith("/"):
+        elif tag not in _VOID and not alone:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag in _CLOSED_BY.get(tag, ()):
                     while len(stack) > i:
