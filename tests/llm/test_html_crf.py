@@ -82,3 +82,14 @@ def test_svg_that_closes_itself(model):
         paired = page + "<svg><text>no</text></svg>"
         assert [b.text for b in H.blocks(paired)] == [b.text for b in H.blocks(PAGE)]
     assert H.blocks("<script/>a</script><style />b</style>") == []
+
+
+def test_hidden_is_an_attribute():
+    shown = ['title="The hidden cost of x"', 'aria-label="a hidden thing"', "title='hidden'", 'data-x=hidden', 'title = "hidden"',
+             'class="a" title="so hidden = x"', "data-hidden", 'aria-hidden="false"', "alt=\"it's hidden here\""]
+    for attributes in shown:
+        assert [b.text for b in H.blocks(f"<article {attributes}><p>a <a {attributes}>b</a></p></article>")] == ["a b"], attributes
+    for attributes in ("hidden", "HIDDEN", 'hidden=""', "hidden='until-found'", 'class="a"hidden', 'title="x" hidden id=b', "hidden = x"):
+        assert [b.text for b in H.blocks(f"<div {attributes}><p>a</p></div><p>b</p>")] == ["b"], attributes
+    found = H.blocks("<div data-id='menu' title='class=ad'><p class = content ID=\"main\">a</p></div>")
+    assert [e.groups for e in found[0].path] == [frozenset(), frozenset({"content"})]

@@ -71,8 +71,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]+)*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/=>]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -98,9 +97,8 @@ def _element(tag: str, attributes: str) -> Element:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     names = _WORD.findall(" ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""))).lower())
     style = found.get("style", "").replace(" ", "").lower()
-    bare = _ATTRIBUTE.sub("", attributes)
     return Element(tag, frozenset(_NAME_OF[w] for w in names if w in _NAME_OF),
-                   "display:none" in style or "visibility:hidden" in style or bool(_HIDDEN.search(bare)),
+                   "display:none" in style or "visibility:hidden" in style or "hidden" in found,
                    found.get("data-label"))
 
 
