@@ -81,3 +81,19 @@ def test_compare_and_alert(spark, tmp_path):
         alert = {r.verdict: r.row_count for r in reconcile.alert_rows(stored).collect()}
         assert alert["MISSING"] == 27 == stored.filter("verdict = 'MISSING'").count()
     assert table.read().count() == 2 * stored.count()
+
+
+def test_hot_keys_outlive_cache_and_sample(spark, tmp_path):
+    """Lost blocks and rows that come anew in another way change nothing about the two halves."""
+    path = str(tmp_path / "rows")
+    rows = lambda hot: spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.col("id")).alias("k"))
+    rows(-1).write.parquet(path)
+    profile = skew.profile_keys(spark.read.parquet(path), ["k"], task_rows=10_000)
+    rows(-2).write.mode("overwrite").parquet(path)
+    spark.catalog.clearCache()
+    many = rows(-1)
+    assert {r.k for r in profile.heavy(many).distinct().collect()} == {-1}
+    assert profile.heavy(many).count() == 20_000 and profile.light(many).count() == 40_000
+    plan = profile.heavy(many)._jdf.queryExecution().toString()
+    assert "Sample" not in plan and "InMemoryRelation" not in plan

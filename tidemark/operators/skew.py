@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import fresh_path
+
 TASK_ROWS = 1_000_000
 #: Sampled rows by which a key of TASK_ROWS rows is known; a fixed number, whatever the input holds.
 SAMPLED_ROWS = 1000
@@ -55,7 +57,9 @@ def profile_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) ->
 
     The sample is as thin as a key at the limit allows, so it costs one scan of
     the key columns and a shuffle of a thousandth of their rows.  The hot keys
-    stay a table: their number grows with the input.
+    stay a table: their number grows with the input.  It is written and read
+    back, so every later use of them agrees even when a sample drawn again from
+    recomputed rows would not.
     """
     rate = min(1.0, SAMPLED_ROWS / task_rows)
     drawn = df.select(key_hash(keys).alias("_h"))
@@ -65,7 +69,11 @@ def profile_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) ->
     if not rows:
         hot.unpersist()
         return no_hot_keys(keys, task_rows)
-    return KeyProfile(tuple(keys), task_rows, hot.select("_h"), math.ceil(rows / rate))
+    path = fresh_path(df.sparkSession, "hot-keys")
+    hot.select("_h").write.parquet(path)
+    hot.unpersist()
+    return KeyProfile(tuple(keys), task_rows, df.sparkSession.read.schema("_h long").parquet(path),
+                      math.ceil(rows / rate))
 
 
 def order_number(df: DataFrame, column: str) -> Column:
