@@ -1,0 +1,97 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.llm import word_runs as wr
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(words):
+    """Every run by trying all periods, smallest first."""
+    out, n = [], len(words)
+    for p in range(1, n // 4 + 1):
+        i = 0
+        while i + p < n:
+            if words[i] != words[i + p]:
+                i += 1
+                continue
+            j = i
+            while j + p < n and words[j] == words[j + p]:
+                j += 1
+            length = j + p - i
+            smallest = next(q for q in range(1, p + 1) if all(words[x] == words[x + q] for x in range(i, i + length - q)))
+            if smallest == p and length >= max(6, 4 * p):
+                out.append((i, length, p))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def fast(docs):
+    sizes = np.array([len(d) for d in docs], np.int64)
+    numbers = {w: i for i, w in enumerate({w for d in docs for w in d})}
+    found = wr.runs(np.array([numbers[w] for d in docs for w in d], np.int64), sizes)
+    out = [[] for _ in docs]
+    for own, *run in zip(*(x.tolist() for x in found), strict=True):
+        out[own].append(tuple(run))
+    return out
+
+
+words = st.text("ab", min_size=0, max_size=60) | st.builds(
+    lambda head, body, n, tail: head + body * n + tail, st.text("abc", max_size=4),
+    st.text("abc", min_size=1, max_size=9), st.integers(1, 9), st.text("abc", max_size=12))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(words, max_size=4))
+def test_against_brute_force(docs):
+    assert fast(docs) == [brute(d) for d in docs]
+
+
+def test_long_and_nested():
+    r = random.Random(5)
+    block = [str(r.randrange(50)) for _ in range(301)]
+    docs = [block * 5 + block[:77], ["x"] * 3000, (["a"] * 7 + ["b"]) * 20, [str(i) for i in range(2000)], []]
+    got = fast(docs)
+    assert got[0] == [(0, 301 * 5 + 77, 301)]
+    assert got[1] == [(0, 3000, 1)]
+    assert got[2] == brute(docs[2]) and (0, 160, 8) in got[2] and len(got[2]) == 21
+    assert got[3:] == [[], []]
+
+
+def want(doc, text):
+    found = WORD.findall(text or "")
+    n = len(found)
+    h = zlib.crc32(str(doc).encode()) if doc is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        found = [w if i < a else found[a + (i - a) % p] for i, w in enumerate(found)]
+    runs = brute(found) if n < 3000 else fast([found])[0]
+    gone = {x for s, length, p in runs for x in range(s + p, s + length)}
+    best = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else (None, None, None)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (doc, len(runs), *best, 1000 * best[1] // best[2] if runs else None,
+            sha("".join(f"{s},{length},{p}\n" for s, length, p in runs)),
+            sha(" ".join(w for i, w in enumerate(found) if i not in gone)))
+
+
+def test_report(spark, edge_docs, no_docs):
+    some = [(i, " ".join(["ab", "cd", "e"][: i % 4] * (i % 9)) + f"\x1c x\x0by {i}") for i in range(60)]
+    docs = edge_docs.select("doc_id", "text").unionByName(spark.createDataFrame(some, "doc_id long, text string"))
+    got = sorted((tuple(r) for r in wr.report(docs).collect()), key=str)
+    assert got == sorted((want(r.doc_id, r.text) for r in docs.collect()), key=str)
+    assert wr.report(no_docs).count() == 0 and wr.collapse(no_docs).count() == 0
+
+
+def test_runs_and_collapse(spark):
+    docs = spark.createDataFrame([(1, "a b a b a b a b c", "k"), (2, None, None), (3, "x  y\nz", "k")],
+                                 "doc_id long, text string, n_runs string")
+    assert [tuple(r) for r in wr.run_rows(docs).collect()] == [(1, 0, 8, 2)]
+    assert {tuple(r) for r in wr.collapse(docs).collect()} == {(1, "a b c", "k"), (2, None, None), (3, "x y z", "k")}
