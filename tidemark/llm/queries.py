@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    ann_forest, bpe_fst, chat_expand, html_crf, line_quality, packing, pii_spans, piece_prefix, shard_tree,
-    simhash_ball, token_blocks, word_runs)
+    ann_forest, bpe_fst, chat_expand, html_crf, line_quality, merkle_versions, packing,
+    pii_spans, piece_prefix, shard_tree, simhash_ball, token_blocks, word_runs)
 from tidemark.llm.common import bounded, table
 
 NEIGHBOURS = 10
@@ -89,6 +89,11 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
                               public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op11_merkle_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_versions.manifest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.report(table(spark, sf_dir, "documents"))
@@ -102,5 +107,5 @@ def op13_piece_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {build.__name__: build for build in (
     op1_prefix_forest, op2_prefix_target_chat, op3_shard_tree, op4_token_blocks,
     op5_html_crf, op6_line_quality, op7_simhash_ball, op8_pii_spans,
-    op9_best_fit_packing, op10_bpe_transducer, op12_word_runs,
-    op13_piece_prefix)}
+    op9_best_fit_packing, op10_bpe_transducer, op11_merkle_versions,
+    op12_word_runs, op13_piece_prefix)}
