@@ -22,4 +22,62 @@ SELECT conv_id, count(*) AS n_turns,
 FROM measured GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op2_prefix_target_chat": _CHAT}
+# Leaves, both kinds of trees level by level, and every row's own leaf folded through its siblings.
+_MERKLE = r"""
+WITH RECURSIVE rows_in AS (
+    SELECT CAST(doc_id AS BIGINT) AS doc_id, source, lang, CAST(n_chars AS BIGINT) AS n_chars, text,
+           row_number() OVER () AS id,
+           list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c))),
+                       lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]),
+                                                  lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS crc
+    FROM documents),
+fields AS (
+    SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+              || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+           coalesce(strlen(text) || ':' || text, '-') AS tail,
+           CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS told
+    FROM rows_in),
+leaves AS (
+    SELECT id, doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+           sha256(head || coalesce(strlen(CAST(told AS VARCHAR)) || ':' || told, '-') || tail) AS own
+    FROM fields),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+           count(*) OVER (PARTITION BY lang) AS n
+    FROM leaves),
+low AS (
+    SELECT lang, 0 AS lvl, pos, leaf AS h, n FROM placed
+    UNION ALL
+    SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2
+    FROM low WHERE n > 1 GROUP BY lang, lvl, pos // 2),
+subroots AS (
+    SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+    FROM low WHERE n = 1),
+high AS (
+    SELECT 0 AS lvl, pos, subroot AS h, n FROM subroots
+    UNION ALL
+    SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2
+    FROM high WHERE n > 1 GROUP BY lvl, pos // 2),
+low_fold AS (
+    SELECT id, lang, 0 AS lvl, pos, n, own AS h, '' AS beside FROM placed
+    UNION ALL
+    SELECT f.id, f.lang, f.lvl + 1, f.pos // 2, (f.n + 1) // 2,
+           sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), f.beside || coalesce(s.h, '')
+    FROM low_fold f LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM f.lang AND s.lvl = f.lvl
+         AND s.pos = CASE WHEN f.pos % 2 = 1 THEN f.pos - 1 ELSE f.pos + 1 END
+    WHERE f.n > 1),
+high_fold AS (
+    SELECT f.id, 0 AS lvl, r.pos, r.n, f.h, f.beside
+    FROM low_fold f JOIN subroots r ON r.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+    UNION ALL
+    SELECT f.id, f.lvl + 1, f.pos // 2, (f.n + 1) // 2,
+           sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), f.beside || coalesce(s.h, '')
+    FROM high_fold f LEFT JOIN high s ON s.lvl = f.lvl
+         AND s.pos = CASE WHEN f.pos % 2 = 1 THEN f.pos - 1 ELSE f.pos + 1 END
+    WHERE f.n > 1)
+SELECT p.doc_id, p.leaf, r.subroot, t.h AS root, sha256(f.beside) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang
+     JOIN high_fold f ON f.id = p.id AND f.n = 1 JOIN high t ON t.n = 1
+"""
+
+ORACLES: dict[str, str] = {"op2_prefix_target_chat": _CHAT, "op11_merkle_versions": _MERKLE}
