@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -79,3 +80,27 @@ def test_exchange_saves_sequences(spark):
     assert n <= 1.005 * bound + 1
     again = {tuple(r) for r in P.pack(items, 400, group_pieces=60).collect()}
     assert again == {tuple(r) for r in small.collect()}
+
+
+def test_copies_spread_over_groups(spark):
+    """A third of all pieces alike: groups stay near their size, sequences apart."""
+    items = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit(0).alias("piece"),
+        F.lit(0).cast("long").alias("start"),
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.pmod(F.xxhash64("id"), F.lit(90)) + 1).alias("length"),
+        F.lit(1).cast("long").alias("ids_crc32")).persist()
+    sizes = P.dealt(items, F.monotonically_increasing_id(), 30).groupBy("own_group").count().collect()
+    assert len(sizes) == 30 and max(r["count"] for r in sizes) < 2000
+    packed = P.pack(items, 100, group_pieces=1000)
+    assert packed.count() == 30_000
+    n = checked(packed.collect(), 100)
+    assert n <= 1.01 * P.certificate(packed, 100)[1] + 1
+
+
+def test_sequence_numbers_of_large_groups():
+    """Numbers of different groups differ whatever their sizes; later rounds count on from there."""
+    rows = {"doc_id": range(9), "piece": [0] * 9, "start": [0] * 9, "length": [3] * 9, "ids_crc32": range(9),
+            "sequence_id": [None] * 9, "offset": [None] * 9, "own_group": [0] * 9}
+    table = pa.table({k: pa.array(v, pa.int64()) for k, v in rows.items()})
+    seen = [set(P._packer(3, 100, 4)((pa.scalar(g),), table)["sequence_id"].to_pylist()) for g in range(4)]
+    assert all(len(s) == 9 for s in seen) and len(set.union(*seen)) == 36 and min(map(min, seen)) == 100

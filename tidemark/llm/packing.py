@@ -1,8 +1,9 @@
 """Best-fit packing with certified partitions.
 
 Documents are tokenised, cut into pieces of at most `capacity` tokens and packed
-into as few sequences as possible.  Pieces are dealt to groups of a fixed size,
-each packed by best-fit decreasing.  Dual-feasible functions give a lower bound
+into as few sequences as possible.  Pieces are dealt to groups of about a fixed
+size by a hash of their row number, so that copies of one piece spread like all
+others; each group is packed by best-fit decreasing.  Dual-feasible functions give a lower bound
 on the sequences a group needs; a group that reaches its bound is certified and
 hands over only its emptiest sequence.  A group above its bound hands over every
 sequence with room left.  What was handed over is dealt to fewer, new groups and
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
@@ -111,7 +112,7 @@ def lower_bound(histogram: np.ndarray, capacity: int, steps: int = 8) -> int:
     return best
 
 
-def _packed_group(rows: pa.Table, capacity: int, new_ids: int) -> pa.Table:
+def _packed_group(rows: pa.Table, capacity: int, first_id: int, step: int) -> pa.Table:
     """One group packed; handed_over marks the sequences that go to the next round."""
     order = ["doc_id", "piece", "ids_crc32", "start", "sequence_id", "offset"]
     rows = rows.sort_by([("length", "descending"), *((c, "ascending") for c in order)])
@@ -120,7 +121,7 @@ def _packed_group(rows: pa.Table, capacity: int, new_ids: int) -> pa.Table:
     first_time = rows["sequence_id"].null_count > 0
     old = np.zeros(0, np.int64) if first_time else np.unique(rows["sequence_id"].to_numpy())
     if first_time or n_bins < len(old):
-        ids = new_ids + bins
+        ids = first_id + step * bins
         rows = (rows.drop_columns(["sequence_id", "offset"])
                 .append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets)))
     else:
@@ -134,36 +135,42 @@ def _packed_group(rows: pa.Table, capacity: int, new_ids: int) -> pa.Table:
     return rows.append_column("handed_over", pa.array(room[place]))
 
 
-def _packer(capacity: int, round_no: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Sequence numbers are made of the round, the group and the place in the group."""
+def _packer(capacity: int, first_id: int, groups: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Sequence numbers count on from first_id, the groups taking turns: no group's size bounds them."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        return _packed_group(rows.drop_columns(["own_group"]), capacity, (round_no << 52) + (key[0].as_py() << 20))
+        return _packed_group(rows.drop_columns(["own_group"]), capacity, first_id + key[0].as_py(), groups)
 
     return run
 
 
+def dealt(rows: DataFrame, unit: Column, groups: int, round_no: int = 0) -> DataFrame:
+    """Rows with the group of their unit: a row number in the first round, a sequence later on."""
+    return rows.withColumn("own_group", F.pmod(F.xxhash64(unit, F.lit(round_no)), F.lit(groups)))
+
+
 def pack(items: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Rows of pieces() with sequence_id and offset.  items is read twice: pass a written table."""
-    unit = F.xxhash64("doc_id", "piece", "ids_crc32")  # later rounds move whole sequences
+    unit = F.monotonically_increasing_id()  # later rounds move whole sequences
     open_rows = items.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     done: DataFrame | None = None
-    round_no, sequences = 0, None
+    first_id, round_no, sequences = 0, 0, None
     while True:
         n = open_rows.count()
         groups = max(1, -(-n // group_pieces))
-
         result = written(
-            open_rows.withColumn("own_group", F.pmod(unit, F.lit(groups)))
-            .groupBy("own_group").applyInArrow(_packer(capacity, round_no), f"{PACKED_COLUMNS}, handed_over boolean"), "packed")
-        now = result.where("handed_over").select(F.count_distinct("sequence_id")).first()[0]
+            dealt(open_rows, unit, groups, round_no).groupBy("own_group")
+            .applyInArrow(_packer(capacity, first_id, groups), f"{PACKED_COLUMNS}, handed_over boolean"), "packed")
+        now, highest = result.agg(F.count_distinct(F.when(F.col("handed_over"), F.col("sequence_id"))),
+                                  F.max("sequence_id")).first()
         if groups == 1 or not now or now == sequences:
             rest = result.drop("handed_over")
             return rest if done is None else done.unionByName(rest)
         kept = result.where("not handed_over").drop("handed_over")
         done = kept if done is None else done.unionByName(kept)
         open_rows = result.where("handed_over").drop("handed_over")
-        unit, sequences, round_no = F.xxhash64("sequence_id", F.lit(round_no)), now, round_no + 1
+        unit, sequences = F.col("sequence_id"), now
+        first_id, round_no = max(first_id, highest + 1), round_no + 1
 
 
 def certificate(packed: DataFrame, capacity: int) -> tuple[int, int]:
