@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann_forest as A
@@ -40,7 +41,7 @@ def test_recall_and_blocks(spark):
     x[::3] = x[0] + 0.01 * rng.standard_normal((1000, 16))  # a third of the rows in one place
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
     docs = frame(spark, rows).select("vec_id", "embedding")
-    found = A.search(docs, F.col("vec_id") % 50 == 0, k=10, forest_rows=700, block_queries=25, min_candidates=150).collect()
+    found = A.search(docs, F.col("vec_id") % 50 == 0, k=10, forest_rows=700, block_queries=25).collect()
     x = np.array([v for _, v in rows])
     hits = 0
     for q in range(0, 3000, 50):
@@ -55,6 +56,33 @@ def test_recall_and_blocks(spark):
 
 
 def test_forest_descends_and_ascends():
-    chars = np.array([[[1, 2]], [[1, 3]], [[2, 0]], [[1, 2]]], np.uint16)
-    forest = A.Forest(chars)
-    assert [next(forest.candidates(chars[:1], n)).tolist() for n in (1, 3, 4)] == [[0, 3], [0, 1, 3], [0, 1, 2, 3]]
+    strings = np.array([[0b0110], [0b0111], [0b1000], [0b0110]], np.uint32)
+    forest = A.Forest(strings, 4)
+    got = [next(forest.candidates(strings[:1], n)) for n in (1, 3, 4, 9)]
+    assert [(length, rows.tolist()) for length, rows in got] == [
+        (4, [0, 3]), (3, [0, 1, 3]), (0, [0, 1, 2, 3]), (0, [0, 1, 2, 3])]
+    # the last step takes as many trees as it needs, and a row that several trees find counts once
+    forest = A.Forest(np.array([[0, 0], [0, 0], [1, 0], [3, 3]], np.uint32), 2)
+    assert [(n, rows.tolist()) for n, rows in forest.candidates(np.array([[0, 0]], np.uint32), 2)] == [(2, [0, 1])]
+    assert [(n, rows.tolist()) for n, rows in forest.candidates(np.array([[0, 0]], np.uint32), 3)] == [(2, [0, 1, 2])]
+
+
+@pytest.mark.parametrize("folder, whole", [("sf0.01", 0.6), ("sf0.1", 0.5)])
+def test_recall_on_the_given_vectors(spark, folder, whole):
+    """With the query's own parameters: recall, stops of several lengths, and far from all rows looked at."""
+    table = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    x = np.array([r.embedding for r in table.orderBy("vec_id").collect()], np.float64)
+    normals = A.planes(x.shape[1], A.TREES, A.DEPTH)
+    strings = A.strings(x, normals, A.TREES)
+    stops = list(A.Forest(strings, A.DEPTH).candidates(strings[::10], int(A.FACTOR * len(x) ** A.POWER)))
+    lengths = {length for length, _ in stops}
+    assert len(lengths) > (folder == "sf0.1") and min(lengths) > 0 and max(lengths) < A.DEPTH
+    assert max(len(rows) for _, rows in stops) < whole * len(x)
+    hits, found = 0, {}
+    for r in A.search(table, F.col("vec_id") % 10 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, len(x), 10):
+        distance = ((x - x[q]) ** 2).sum(axis=1)
+        distance[q] = np.inf
+        hits += len(found[q] & set(np.argsort(distance, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * len(x)
