@@ -178,7 +178,7 @@ def test_a_failing_target_stands_alone(spark):
 
 
 def test_replay_of_a_compacted_batch(spark, tmp_path):
-    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], bucket_rows=10)
     frame = lambda rows: spark.createDataFrame(rows, "k long, v string")
     table.write_batch(frame([(i, "old") for i in range(40)]), 1)
     table.write_batch(frame([(1, "two")]), 2)

@@ -76,7 +76,7 @@ def outcome_utilization(outcomes: DataFrame, job: str, at: Column) -> DataFrame:
 def outcome_faults(outcomes: DataFrame, job: str, at: Column) -> DataFrame:
     """A fault per failed attempt, and one more for each hand-over to the dead letters."""
     failed = outcomes.filter(F.col("status").isin(FAILED, PERMANENT))
-    retry = F.concat(F.lit("Sent to DLQ, retry_count="), F.col("retry_count").cast("string"))
+    retry = F.concat(F.lit("handed to the dead letters after attempt "), F.col("retry_count").cast("string"))
     writes = fault_rows(failed, job, F.lit(STEP_WRITE), F.col("status"), F.col("error_message"), at)
     sent = fault_rows(failed.filter(F.col("status") == FAILED), job, F.lit(STEP_DEAD), F.lit(DEAD),
                       retry, at)
@@ -101,7 +101,7 @@ def requeued(plan: DataFrame) -> DataFrame:
 def discarded_faults(plan: DataFrame, job: str, at: Column, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     gone = plan.filter(F.col("action") == "DISCARD")
     return fault_rows(gone, job, F.lit(STEP_READ), F.lit(PERMANENT),
-                      F.lit(f"Max retries ({max_attempts}) exhausted"), at)
+                      F.lit(f"given up after {max_attempts} attempts"), at)
 
 
 def plan_totals(plan: DataFrame) -> DataFrame:
@@ -140,12 +140,26 @@ def reprocess_feed(audit: DataFrame, fields: dict[str, str], max_attempts: int =
         "retry_count", (~F.col("reprocess_flag")).alias("is_retry"))
 
 
-def step_trace(utilization: DataFrame, faults: DataFrame) -> DataFrame:
-    """Events as rows, steps as columns, the last status as value."""
-    cols = ["event_id", "step_number", "status"]
+# Statuses from the best to the worst: of records of one moment the worst counts.
+SEVERITY = (SUCCESS, SKIP, DEAD, FAILED, PERMANENT)
+
+
+def step_trace(utilization: DataFrame, faults: DataFrame, order: list[str] = ("created_at",)) -> DataFrame:
+    """Events as rows; per step its last status (step_n) and how many of its records failed (failed_n).
+
+    An event id stands for a file, so a step has many records: the last by
+    ``order`` counts, of several at that moment the worst.
+    """
+    cols = ["event_id", "step_number", "status", *order]
     both = utilization.select(*cols).unionByName(faults.select(*cols))
-    traced = both.groupBy("event_id").pivot("step_number", STEPS).agg(F.max("status"))
-    return traced.select("event_id", *[F.col(str(s)).alias(f"step_{s}") for s in STEPS])
+    worst = F.array_position(F.array(*[F.lit(s) for s in SEVERITY]), F.col("status"))
+    bad = F.count_if(~F.col("status").isin(SUCCESS, SKIP))
+    last = both.groupBy("event_id", "step_number").agg(
+        F.max_by("status", F.struct(*order, worst)).alias("status"), bad.alias("failed"))
+    traced = last.groupBy("event_id").pivot("step_number", STEPS).agg(
+        F.first("status").alias("status"), F.first("failed").alias("failed"))
+    return traced.select("event_id", *[F.col(f"{s}_status").alias(f"step_{s}") for s in STEPS],
+                         *[F.col(f"{s}_failed").alias(f"failed_{s}") for s in STEPS])
 
 
 def status_counts(outcomes: DataFrame) -> DataFrame:

@@ -110,18 +110,15 @@ def fold(feed: DataFrame, spec: FoldSpec, base: DataFrame | None = None,
     """Feed (and current rows) with a ``decision`` each; input of the two views below.
 
     Ordinary keys take one shuffle and one sort by key.  Keys too heavy for a
-    task are cut along the order into pieces that run in parallel; events that
-    share one value of the first order column stay in one piece.
+    task are cut along the whole order into pieces that run in parallel, so a key
+    whose events share one commit time is cut as well.
     """
     prof = profile or skew.profile_keys(feed, list(spec.keys), task_rows)
     rows = _with_base(feed, base, spec)
     if prof.hot is None:
         return _decide(rows, spec, None)
-    cuts = skew.order_cuts(prof.heavy(feed), spec.order[0], prof.pieces())
-    # current rows come before every event, hence in the first piece
-    heavy = prof.heavy(rows).withColumn(
-        "_when", F.when(F.col("_kind") == 1, F.col(spec.order[0])))
-    heavy = skew.with_chunk(heavy, "_when", cuts).drop("_when")
+    # current rows come before every event, hence in the first pieces
+    heavy = skew.range_pieces(prof.heavy(rows), ["_kind", "_pos", *spec.keys], prof.pieces())
     light = prof.light(rows)
     return _decide(light, spec, None).unionByName(_decide(heavy, spec, "_chunk").drop("_chunk"))
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import fresh_path
 
@@ -76,38 +76,17 @@ def profile_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) ->
                       math.ceil(rows / rate))
 
 
-def order_number(df: DataFrame, column: str) -> Column:
-    """A double that rises with the column (equal where it is equal)."""
-    kind = df.schema[column].dataType.typeName()
-    col = F.col(column)
-    if kind == "date":
-        return F.unix_date(col).cast("double")
-    if kind.startswith("timestamp"):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    return col.cast("double")
+def range_pieces(df: DataFrame, order: list, pieces: int, out: str = "_chunk") -> DataFrame:
+    """Rows in ``pieces`` of about equal size along the whole order, the piece's number beside them.
 
-
-def order_cuts(df: DataFrame, column: str, pieces: int) -> list[float]:
-    """Cut points that part the rows into about equal pieces along ``column``.
-
-    The points come back as plain numbers, so every later use of them agrees
-    even when Spark has to recompute a partition.
+    Ranges of all order columns together: rows that share a time are parted by
+    what comes after it.  The rows are written, so that whatever reads them again
+    sees the same pieces; no cut point reaches the driver or the plan.
     """
-    share = [i / pieces for i in range(1, pieces)]
-    got = df.agg(F.percentile_approx(order_number(df, column), share, 20 * pieces)
-                 .alias("cuts")).first().cuts
-    return sorted(set(got or []))
-
-
-def with_chunk(df: DataFrame, column: str, cuts: list[float], out: str = "_chunk") -> DataFrame:
-    """Number the piece each row falls in; rows without order value come first."""
-    splits = [-math.inf, *cuts, math.inf]
-    numbered = df.withColumn("_ord", F.coalesce(order_number(df, column), F.lit(-math.inf)))
-    if len(splits) < 3:
-        return numbered.drop("_ord").withColumn(out, F.lit(0))
-    cutter = Bucketizer(splits=splits, inputCol="_ord", outputCol=out, handleInvalid="keep")
-    return (cutter.transform(numbered).drop("_ord")
-            .withColumn(out, F.col(out).cast("int")))
+    path = fresh_path(df.sparkSession, "pieces")
+    (df.repartitionByRange(pieces, *order).withColumn(out, F.spark_partition_id())
+     .write.parquet(path))
+    return df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())])).parquet(path)
 
 
 def prior_max(df: DataFrame, keys: list[str], order: list, reset: Column, value: Column,

@@ -45,6 +45,7 @@ def bootstrap(applier: ChangeApplier, snapshots: dict[str, DataFrame], rings: li
     """
     tables = {m.target: applier.table(m) for m in applier.mappings()}
     snapshot.initial_load([(as_state(rows), tables[name]) for name, rows in snapshots.items()], LOAD_BATCH)
+    applier.drop_indexes()
     loaded = {name: tables[name].read(upto=LOAD_BATCH) for name in snapshots}
     snapshot.require_rows(loaded)
     for ring in rings:

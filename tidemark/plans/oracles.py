@@ -234,7 +234,6 @@ SELECT CAST(s_suppkey * 2 + 101 AS INTEGER), 'wide', 't' || (s_suppkey // 4), 'e
 UNION ALL
 SELECT map_id, src_schema, src_tbl_nam, dstn_tbl_nam, true, stream_type, load_order, 2 FROM {_SEED_MAPS}""")
 
-# fixed values: source field, target field, method and position of the seed rules, by map
 # Map, place, source field, target field, method.
 _SEED_RULES = [
     (1, 1, "policy_id", "policy_id", "LEGACY_REF"),
@@ -523,7 +522,7 @@ cte("failures", "outcomes", """
 SELECT event_id, 'applier#5' AS job_step, 'applier' AS job_name, CAST(5 AS INTEGER) AS step_number, status,
        left(message, 500) AS error_reason, applied_at AS created_at FROM outcomes WHERE status LIKE '%FAILED'
 UNION ALL
-SELECT event_id, 'applier#6', 'applier', 6, 'DLQ', 'Sent to DLQ, retry_count=' || attempts, applied_at
+SELECT event_id, 'applier#6', 'applier', 6, 'DLQ', 'handed to the dead letters after attempt ' || attempts, applied_at
 FROM outcomes WHERE status = 'FAILED'""")
 oracle("faults", "failures", "SELECT * FROM failures")
 oracle("dead_letters", "outcomes", """
@@ -545,10 +544,17 @@ SELECT op, 'app' AS src_schema, 'account' AS src_table, event_ts, seq, pk, paylo
        attempts AS retry_count, status = 'FAILED' AS is_retry
 FROM outcomes WHERE status = 'FAILED' OR (status = 'PERMANENT_FAILED' AND seq % 2 = 0)""")
 oracle("step_trace", "used failures", """
-SELECT event_id, 'SUCCESS' AS step_1, CAST(NULL AS VARCHAR) AS step_2,
-       max(status) FILTER (step_number = 3) AS step_3, max(status) FILTER (step_number = 4) AS step_4,
-       max(status) FILTER (step_number = 5) AS step_5, max(status) FILTER (step_number = 6) AS step_6
-FROM (SELECT event_id, step_number, status FROM used UNION ALL SELECT event_id, step_number, status FROM failures)
+SELECT event_id, 'SUCCESS' AS step_1, CAST(NULL AS VARCHAR) AS step_2, CAST(0 AS BIGINT) AS failed_1, CAST(NULL AS BIGINT) AS failed_2,
+       any_value(status) FILTER (step_number = 3) AS step_3, any_value(failed) FILTER (step_number = 3) AS failed_3,
+       any_value(status) FILTER (step_number = 4) AS step_4, any_value(failed) FILTER (step_number = 4) AS failed_4,
+       any_value(status) FILTER (step_number = 5) AS step_5, any_value(failed) FILTER (step_number = 5) AS failed_5,
+       any_value(status) FILTER (step_number = 6) AS step_6, any_value(failed) FILTER (step_number = 6) AS failed_6
+FROM (SELECT event_id, step_number, status,
+             count(*) FILTER (status IN ('FAILED', 'PERMANENT_FAILED', 'DLQ')) OVER (PARTITION BY event_id, step_number) AS failed
+      FROM (SELECT event_id, step_number, status, created_at FROM used
+            UNION ALL SELECT event_id, step_number, status, created_at FROM failures)
+      QUALIFY row_number() OVER (PARTITION BY event_id, step_number ORDER BY created_at DESC,
+          CASE status WHEN 'SUCCESS' THEN 0 WHEN 'SKIP' THEN 1 WHEN 'DLQ' THEN 2 WHEN 'FAILED' THEN 3 ELSE 4 END DESC) = 1)
 GROUP BY event_id""")
 oracle("status_counts", "outcomes", """
 SELECT CAST(step AS INTEGER) AS step_number, decision, status, count(*) AS event_count FROM outcomes GROUP BY ALL""")

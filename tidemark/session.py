@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
@@ -54,6 +56,37 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_OPEN: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, never reused path below the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A new, never reused path below the shared folder; inside scratch() it goes when that ends."""
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+def folder(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop path and the file system it lies in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, fs = folder(spark, path)
+    fs.delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what operators wrote in between for their own use.
+
+    Results that still read it must have been written before.  One at a time a process.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)

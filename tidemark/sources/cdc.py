@@ -83,10 +83,10 @@ def classify(lines: DataFrame) -> DataFrame:
         .otherwise(DATA))
 
 
-def data_rows(classified: DataFrame) -> DataFrame:
-    """Data lines with a normalised header; ``data`` holds the other fields."""
+def data_rows(classified: DataFrame, raw: bool = False) -> DataFrame:
+    """Data lines with a normalised header; ``data`` holds the other fields, ``line`` (raw) the line as read."""
     cols = F.col("cols")
-    keep = [c for c in classified.columns if c not in ("line", "cols", "kind")]
+    keep = [c for c in classified.columns if c not in ("cols", "kind") and (raw or c != "line")]
     return classified.filter(F.col("kind") == DATA).select(
         *keep,
         F.upper(strip(cols[0])).alias("op"),
