@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.fold import CLOUD, DELETE, circular_guard
+from tidemark.operators.fold import CLOUD
 
 
 def reverse_feed(domain_events: DataFrame, flag: str = "datasync_flag") -> DataFrame:
@@ -20,11 +20,3 @@ def to_change_line(feed: DataFrame, schema: str, table: str, event_ts: Column,
     return feed.select("*", F.concat_ws("|", F.col("op"), F.lit(table), F.lit(schema),
                                         event_ts.cast("string"), *data).alias("line"))
 
-
-def returning(feed: DataFrame, flag: str = "datasync_flag", op: str = "op") -> DataFrame:
-    """Feed rows that would still enter the target as inserts: must be none."""
-    return feed.filter((F.col(op) == "I") & ~circular_guard(F.col(flag), F.col(op)))
-
-
-def deletes(feed: DataFrame) -> DataFrame:
-    return feed.filter(F.col("op") == DELETE)

@@ -591,6 +591,7 @@ SELECT policy_id, policy_num FROM policy_src WHERE policy_id NOT IN (SELECT poli
 oracle("recon_orphans", "policy_src policy_tgt", """
 SELECT policy_id, policy_num FROM policy_tgt WHERE policy_id % 2 = 0 AND policy_id NOT IN (SELECT policy_id FROM policy_src)""")
 oracle("recon_rows", "compared", "SELECT * EXCLUDE (since, s, t) FROM compared")
+oracle("recon_digest", "compared", "SELECT * EXCLUDE (since, s, t) FROM compared WHERE verdict <> 'MATCH'")
 oracle("recon_drift", "found", """
 SELECT policy_id, verdict, since, TIMESTAMP '1999-01-01 00:00:00' - INTERVAL 24 HOUR > since AS breach FROM found""")
 oracle("recon_repair", "found", """
@@ -613,6 +614,35 @@ SELECT ending, count(*) AS line_count FROM (
   UNION ALL SELECT CASE WHEN src_table = '' OR src_schema = '' THEN 'UNADDRESSED_ROW'
                         WHEN src_table NOT IN ('policy', 'claim') THEN 'UNMAPPED_ROW' ELSE 'OUTCOME' END FROM rows_)
 GROUP BY ending""")
+oracle("fault_lines", "kinds rows_ lines", """
+SELECT reason AS error_reason, k * 1000 + line_num AS line_pos, line FROM (
+  SELECT k, line_num, kind || '_ROW' AS reason FROM kinds WHERE kind IN ('SHORT', 'OPEN_QUOTE')
+  UNION ALL SELECT k, line_num, CASE WHEN src_table = '' OR src_schema = '' THEN 'UNADDRESSED_ROW' ELSE 'UNMAPPED_ROW' END
+  FROM rows_ WHERE src_table = '' OR src_schema = '' OR src_table <> 'claim') JOIN lines USING (k, line_num)""")
+oracle("stream_unique", "", """
+SELECT o_orderkey, CASE WHEN turn = 1 OR freed AND turn = 2 THEN 'SUCCESS' ELSE 'PERMANENT_FAILED' END AS status,
+       CAST(CASE WHEN turn = 1 THEN 0 WHEN freed AND turn = 2 THEN 2 ELSE 3 END AS INTEGER) AS retry_count,
+       CASE WHEN turn = 1 OR freed AND turn = 2 THEN '' ELSE 'UNIQUE:o_custkey' END AS error_message,
+       CASE WHEN freed THEN turn = 2 ELSE turn = 1 END AS held
+FROM (SELECT o_orderkey, o_custkey % 7 = 0 AS freed, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS turn
+      FROM orders)""")
+oracle("stream_dependents", "", """
+WITH items AS (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey IN (SELECT o_orderkey FROM orders) AS known FROM lineitem),
+said AS (
+  SELECT 1 AS batch_id, 't.orders' AS table_name, 'I' AS op, 'FAILED' AS status, 'broken rule' AS reason FROM orders
+  UNION ALL SELECT 1, 't.lines', 'I', 'FAILED', 'FOREIGN_KEY:l_orderkey' FROM items
+  UNION ALL SELECT 2, 't.orders', 'I', 'SUCCESS', '' FROM orders
+  UNION ALL SELECT 2, 't.lines', 'I', CASE WHEN known THEN 'SUCCESS' ELSE 'FAILED' END,
+                   CASE WHEN known THEN '' ELSE 'FOREIGN_KEY:l_orderkey' END FROM items
+  UNION ALL SELECT 3, 't.lines', 'I', 'PERMANENT_FAILED', 'FOREIGN_KEY:l_orderkey' FROM items WHERE NOT known
+  UNION ALL SELECT 3, 't.orders', 'D', CASE WHEN used THEN 'FAILED' ELSE 'SUCCESS' END,
+                   CASE WHEN used THEN 'RESTRICT:o_orderkey' ELSE '' END
+            FROM (SELECT o_orderkey IN (SELECT l_orderkey FROM lineitem) AS used FROM orders WHERE o_orderkey % 5 = 0))
+SELECT CAST(batch_id AS INTEGER) AS batch_id, table_name, op, status, reason, count(*) AS row_count FROM said GROUP BY ALL""")
+oracle("stream_new_table", "", """
+SELECT 't.nation' AS name, count(*) AS row_count FROM nation
+UNION ALL SELECT 't.customer', count(*) FROM customer WHERE c_custkey % 2 = 1
+UNION ALL SELECT 'UNMAPPED_ROW', count(*) FROM customer WHERE c_custkey % 2 = 0 HAVING count(*) > 0""")
 oracle("reverse_feed", "feed", "SELECT seq, op, pk, payload, 'CLOUD' AS datasync_flag FROM feed")
 oracle("loop_free", "feed", """
 SELECT op, count(*) FILTER (op = 'I') AS blocked, CAST(0 AS BIGINT) AS inserts_returning FROM feed GROUP BY op""")
