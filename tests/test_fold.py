@@ -130,3 +130,21 @@ def test_target_without_modification_time_always_applies(spark):
     folded = fold.fold(frame(spark, feed), spec)
     assert [r.decision for r in fold.decisions(folded).orderBy("seq").collect()] == ["APPLY", "APPLY"]
     assert F.col("v") is not None
+
+
+def test_hot_key_of_one_commit_time(spark):
+    """All events of the key come from one file and share its time: it is cut all the same."""
+    feed = make_feed(21, n=300, keys=2)
+    rows = [(k, START, s, *rest) for k, s, *rest in feed]
+    frame = spark.createDataFrame(rows, SCHEMA.replace("seq bigint", "at timestamp_ntz, seq bigint"))
+    spec = fold.FoldSpec(**{**SPEC.__dict__, "order": ("at", "seq")})
+    profile = skew.profile_keys(frame, ["pk"], 30)
+    assert profile.pieces() >= 4
+    heavy = profile.heavy(frame)
+    pieces = skew.range_pieces(heavy, ["at", "seq"], profile.pieces()).groupBy("_chunk").count().collect()
+    assert len(pieces) >= 4 and max(r["count"] for r in pieces) < 0.6 * heavy.count()
+    folded = fold.fold(frame, spec, profile=profile)
+    said, state = replay(feed)
+    assert {r.seq: r.decision for r in fold.decisions(folded).collect()} == said
+    got = {r.pk: (r.v, r.last_modified, r.born, r.last_seq.seq) for r in fold.live(fold.final_state(folded, spec)).collect()}
+    assert got == live_rows(state)

@@ -69,3 +69,13 @@ def test_composite_keys_and_exclusion(spark):
     assert tuple(project.delete_keys(named.withColumn("op", F.lit("D")), m).first()) == ("A", "b")
     only = mapping([rule("u", "u", 1, "UUID_GENERATE")])
     assert project.project_target(named, only) is None
+
+
+def test_edits_of_one_row(spark):
+    rules = spark.createDataFrame([(1, "a", "x", "p"), (2, "b", "y", "q")], "id int, src string, dst string, kind string")
+    edits = spark.createDataFrame([(1, "k", None, 1), (1, "m", "r", 2), (1, None, None, 3)],
+                                  "id int, dst string, kind string, at int")
+    got = {tuple(r) for r in metadata.patch(rules, ["id"], edits, ["dst", "kind"], order="at").collect()}
+    assert got == {(1, "a", "m", "r"), (2, "b", "y", "q")}
+    gone = spark.createDataFrame([(2,), (2,)], "id int")
+    assert [tuple(r) for r in metadata.patch(rules, ["id"], edits, ["dst"], gone).collect()] == [(1, "a", "m", "p")]

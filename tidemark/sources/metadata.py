@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RULE_FIELDS = ("column_order", "rule_id", "src_field_name", "src_datatype_txt",
@@ -111,11 +111,19 @@ def dependency_ranks(maps: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def patch(table: DataFrame, keys: list[str], edits: DataFrame, fields: list[str],
-          deletes: DataFrame | None = None) -> DataFrame:
+          deletes: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """Metadata evolution: remove the rows of ``deletes``, then overwrite
-    ``fields`` of the rows whose ``keys`` are in ``edits`` (null = keep)."""
-    kept = table if deletes is None else table.join(deletes, keys, "left_anti")
-    renamed = edits.select(*keys, *[F.col(f).alias(f"new_{f}") for f in fields])
+    ``fields`` of the rows whose ``keys`` are in ``edits`` (null = keep).
+
+    Of several edits of one row the last by ``order`` counts, field by field;
+    without an order the largest value, so that the outcome is always the same.
+    """
+    kept = table if deletes is None else table.join(deletes.select(*keys).distinct(), keys, "left_anti")
+
+    def chosen(field: str) -> Column:
+        return F.max(field) if order is None else F.max_by(field, F.when(F.col(field).isNotNull(), F.col(order)))
+
+    renamed = edits.groupBy(*keys).agg(*[chosen(f).alias(f"new_{f}") for f in fields])
     return (kept.join(renamed, keys, "left")
             .select(*[F.coalesce(f"new_{c}", c).alias(c) if c in fields else F.col(c)
                       for c in table.columns]))
