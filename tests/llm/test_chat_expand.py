@@ -50,5 +50,18 @@ def test_read_back_cases(spark):
         assert (row.loss_chars, row.loss_sha256) == (len(loss), digest(loss))
 
 
+def test_long_conversations_in_blocks(spark):
+    """A conversation over many blocks, with and without replies, gives what one block gives."""
+    said = [(c, i, "assistant" if (i * 7 + c) % 3 == 0 else "user", f"t{i}" * (i % 4))
+            for c, n in ((1, 30), (2, 8), (3, 1)) for i in range(n)]
+    said += [(None, i, "user", "x") for i in range(9)] + [(4, i, "assistant", "same") for i in (5, 5, 5, 5, 5)]
+    rows = frame(spark, said)
+    whole = {tuple(r) for r in C.expand(rows).collect()}
+    for size in (1, 4, 7):
+        assert {tuple(r) for r in C.expand(rows, size).collect()} == whole
+    back = lambda size: {tuple(r) for r in C.read_back(C.formatted(C.expand(rows, size))).collect()}
+    assert back(3) == back(64) and len(back(64)) == 5
+
+
 def test_empty(spark):
     assert C.read_back(C.formatted(C.expand(frame(spark, []).where("false")))).count() == 0

@@ -15,6 +15,11 @@ An example is context + target + tail: the target is the escaped reply, the tail
 closes its turn.  It costs as many characters as its context has; that is what
 the expansion is.
 
+Turns are numbered without bringing a conversation together and grouped in blocks
+of BLOCK_TURNS.  An example takes the turns of its own block from there and the
+text of each block before it by a join, so whatever share of the rows one
+conversation has, a task never holds more of it than one example does.
+
 Cases: null text or role is empty; turns are put in order of their number, equal
 or null numbers by role and text; repeated rows are turns of their own; a null
 conversation id is a conversation; an empty table gives no rows.  All columns but
@@ -23,10 +28,13 @@ conv_id, turn, role and text are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import numbered, written
+
 START, END, ASSISTANT = "<|im_start|>", "<|im_end|>", "assistant"
+CLOSING = f"{END}\n"
 
 
 def escaped(text: Column) -> Column:
@@ -46,28 +54,63 @@ def unescaped_role(role: Column) -> Column:
     return unescaped(F.regexp_replace(role, r"\G((?:[^\\]|\\[\\|])*+)\\n", "$1\n"))
 
 
-def expand(turns: DataFrame) -> DataFrame:
-    """conv_id, example (from 0), context, target (null without reply), tail."""
+#: Turns of a conversation that lie in one row.
+BLOCK_TURNS = 64
+
+
+def _blocks(turns: DataFrame, block_turns: int) -> DataFrame:
+    """conv_id, block, is_last, turns (in order), written (as they stand in an example) and cuts.
+
+    A cut is the number (from 1) of the turn that ends an example: every reply, and
+    one past the last turn of the conversation if that is none.
+    """
     text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
-    row = F.struct(F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
-    opened = lambda t: F.concat(F.lit(START), escaped_role(t["role"]), F.lit("\n"))
-    closing = F.lit(f"{END}\n")
-    written = lambda t: F.concat(opened(t), escaped(t["text"]), closing)
-    whole = (turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
-             .withColumn("written", F.transform("turns", written))
-             .withColumn("replies", F.filter(F.sequence(F.lit(1), F.size("turns")),
-                                             lambda i: F.get("turns", i - 1)["role"] == ASSISTANT))
-             .withColumn("cuts", F.concat("replies", F.when(
-                 F.coalesce(F.try_element_at("replies", F.lit(-1)), F.lit(0)) < F.size("turns"),
-                 F.array(F.size("turns") + 1)).otherwise(F.array().cast("array<int>")))))
+    rows = numbered(turns.select("conv_id", F.col("turn").cast("long").alias("turn"), text("role").alias("role"),
+                                 text("text").alias("text")), ["conv_id"], ["turn", "role", "text"])
+    whole = lambda t: F.concat(_opened(t), escaped(t["text"]), F.lit(CLOSING))
+    n = F.size("turns")
+    replies = F.filter(F.sequence(F.lit(1), n), lambda i: F.get("turns", i - 1)["role"] == ASSISTANT)
+    is_open = F.col("is_last") & (F.get("turns", n - 1)["role"] != ASSISTANT)
+    return (rows.groupBy("conv_id", F.floor(F.col("place") / block_turns).alias("block"))
+            .agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"),
+                 F.max(F.col("place") == F.col("group_size") - 1).alias("is_last"))
+            .withColumn("written", F.transform("turns", whole))
+            .withColumn("cuts", F.concat(replies, F.when(is_open, F.array(n + 1)).otherwise(
+                F.array().cast("array<int>")))))
+
+
+def _opened(turn: Column) -> Column:
+    return F.concat(F.lit(START), escaped_role(turn["role"]), F.lit("\n"))
+
+
+def expand(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """conv_id, example (from 0), context, target (null without reply), tail."""
+    blocks = written(_blocks(turns, block_turns), "blocks")
+    along = Window.partitionBy("conv_id").orderBy("block")
+    known = blocks.select("conv_id", "block", F.size("cuts").alias("n")).select(
+        F.col("conv_id").alias("_c"), F.col("block").alias("_b"), (F.sum("n").over(along) - F.col("n")).alias("_known"))
     reply = F.get("turns", F.col("cut") - 1)
     is_reply = F.col("cut") <= F.size("turns")
     before = F.array_join(F.slice("written", F.lit(1), F.col("cut") - 1), "")
-    return (whole.select("conv_id", "turns", "written", F.posexplode("cuts").alias("example", "cut"))
-            .select("conv_id", "example",
-                    F.when(is_reply, F.concat(before, opened(reply))).otherwise(before).alias("context"),
-                    F.when(is_reply, escaped(reply["text"])).alias("target"),
-                    F.when(is_reply, closing).otherwise(F.lit("")).alias("tail")))
+    # a first block's examples number from 0; only later blocks must know what came before
+    first = blocks.filter("block = 0").withColumn("_known", F.lit(0).cast("long"))
+    later = (blocks.filter("block > 0")
+             .join(known.filter("_b > 0"), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
+             .drop("_c", "_b"))
+    examples = (first.unionByName(later).select("*", F.posexplode("cuts").alias("_nth", "cut")).select(
+        "conv_id", "block", (F.col("_known") + F.col("_nth")).cast("int").alias("example"),
+        F.when(is_reply, F.concat(before, _opened(reply))).otherwise(before).alias("context"),
+        F.when(is_reply, escaped(reply["text"])).alias("target"),
+        F.when(is_reply, F.lit(CLOSING)).otherwise(F.lit("")).alias("tail")))
+    texts = blocks.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"),
+                          F.array_join("written", "").alias("_text"))
+    far = (examples.filter("block > 0")
+           .join(texts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_b") < F.col("block")))
+           .groupBy("conv_id", "example", "context", "target", "tail")
+           .agg(F.sort_array(F.collect_list(F.struct("_b", "_text"))).alias("_parts"))
+           .withColumn("context", F.concat(F.array_join(F.col("_parts._text"), ""), F.col("context")))
+           .drop("_parts"))
+    return examples.filter("block = 0").drop("block").unionByName(far)
 
 
 def formatted(example: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -58,3 +59,33 @@ def raw_texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of an Arrow string column one by one, null as empty."""
     for value in column.cast(pa.large_binary()):
         yield value.as_py() or b""
+
+
+#: Rows of a range that is numbered in one task.
+RANGE_ROWS = 1 << 17
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows with their place in their group, from 0, and the group's size; equal rows in any order.
+
+    Rows are sorted into ranges of the whole order (group, order, row number), each
+    range is counted, and what lies before is added: no group, and no copies of
+    one row, meet in one task.  Null groups and null values come first.
+    """
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    ranges = max(1, -(-rows.count() // range_rows))
+    dealt = written(rows.repartitionByRange(ranges, *group, *order, "_row")
+                    .withColumn("_range", F.spark_partition_id()), "ranges")
+    names = [f"_g{i}" for i in range(len(group))]
+    counts = dealt.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)],
+                           F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = counts.select(
+        *names, "_r", (F.sum("_n").over(Window.partitionBy(*names).orderBy("_r")) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(*names)).alias("group_size"))
+    own = Window.partitionBy(*group, "_range").orderBy(*order, "_row")
+    same = F.col("_range") == F.col("_r")
+    for g, n in zip(group, names, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    return (dealt.withColumn("_within", F.row_number().over(own) - 1).join(before, same)
+            .withColumn("place", F.col("_before") + F.col("_within"))
+            .drop("_row", "_range", "_r", "_within", "_before", *names))

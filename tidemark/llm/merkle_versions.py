@@ -30,15 +30,13 @@ import hashlib
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import RANGE_ROWS, numbered, written
 
 #: Levels of the tree that one block holds; a block is 2^LEVELS leaves.
 LEVELS = 12
-#: Rows of a range that is numbered in one task.
-RANGE_ROWS = 1 << 17
 REPORT = ("doc_id long, leaf string, subroot string, root string, proof_sha256 string, "
           "folded_root string, verified boolean")
 
@@ -117,25 +115,6 @@ def leaves(docs: DataFrame) -> DataFrame:
                        leaf(n_chars).alias("leaf"), F.when(tampered, leaf(more)).alias("changed"))
 
 
-def numbered(rows: DataFrame, order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Rows with their place in their own_group and the group's size, from 0; equal rows in any order."""
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "leaves")
-    ranges = max(1, -(-rows.count() // range_rows))
-    by = ["own_group", *order, "_row"]
-    dealt = written(rows.repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy("own_group", "_range").agg(F.count("*").alias("_n"))
-    along = Window.partitionBy("own_group").orderBy("_range")
-    before = counts.select(
-        F.col("own_group").alias("_g"), F.col("_range").alias("_r"),
-        (F.sum("_n").over(along) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(Window.partitionBy("own_group")).alias("group_size"))
-    own = Window.partitionBy("own_group", "_range").orderBy(*order, "_row")
-    return (dealt.withColumn("_within", F.row_number().over(own) - 1)
-            .join(before, F.col("own_group").eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
-            .withColumn("place", F.col("_before") + F.col("_within"))
-            .drop("_row", "_range", "_g", "_r", "_n", "_within", "_before"))
-
-
 def height_of(size: int) -> int:
     """Levels above `size` leaves until one node is left."""
     return max(0, size - 1).bit_length()
@@ -206,7 +185,7 @@ def _ways(rows: DataFrame, levels: int) -> DataFrame:
     in_group = written(upper_paths(roots, largest or 0, levels), "paths")
     groups = in_group.where("place = 0").select(F.lit(None).cast("string").alias("own_group"),
                                                 F.col("own_group").alias("name"), F.col("subroot").alias("value"))
-    tops = numbered(groups, ["name"])
+    tops = numbered(groups, ["own_group"], ["name"])
     n_groups = tops.count()
     top_paths = upper_paths(tops.select("own_group", "group_size", "place", "value"), n_groups, levels).select(
         F.col("place").alias("_p"), F.col("sides").alias("_sides"), F.col("beside").alias("_beside"),
@@ -224,7 +203,7 @@ def manifest(docs: DataFrame, levels: int = LEVELS, range_rows: int = RANGE_ROWS
     or of its leaf as it is, folded through the proof.
     """
     # written: it is read once for the roots and once for the proofs, with the same places
-    rows = written(numbered(leaves(docs), ["doc_id", "leaf"], range_rows), "places")
+    rows = written(numbered(leaves(docs), ["own_group"], ["doc_id", "leaf"], range_rows), "places")
     ways = _ways(rows, levels)
 
     def prove(key: tuple, block: pa.Table, way: pa.Table) -> pa.Table:
@@ -253,7 +232,7 @@ def manifest(docs: DataFrame, levels: int = LEVELS, range_rows: int = RANGE_ROWS
 
 def copied_nodes(docs: DataFrame, levels: int = LEVELS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """own_group, place, level, node: what each tampered row's version has of its own, from its leaf to the root of all."""
-    rows = written(numbered(leaves(docs), ["doc_id", "leaf"], range_rows), "places")
+    rows = written(numbered(leaves(docs), ["own_group"], ["doc_id", "leaf"], range_rows), "places")
     ways = _ways(rows, levels)
 
     def versions(key: tuple, block: pa.Table, way: pa.Table) -> pa.Table:
