@@ -49,3 +49,31 @@ def test_weights_and_confined_movement(spark):
 def test_written_shards(spark, edge_docs, tmp_path):
     S.write_shards(edge_docs, S.balanced(1, 2, 2), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == edge_docs.count()
+
+
+def brute(doc, tree):
+    """The descent by hand: at every node the child with the largest draw."""
+    while tree.children:
+        tree = max(tree.children, key=lambda c: doc[c.name]) if len(tree.children) > 1 else tree.children[0]
+    return tree.shard
+
+
+def test_descent_against_the_draws(spark):
+    tree = S.grown(S.Node("all", (S.Node("a", (S.Node("a0", shard=0, own_weight=2.0), S.Node("a1", shard=1))),
+                                  S.Node("b", (S.Node("b0", shard=2), S.Node("b1", shard=3, own_weight=0.5))))))
+    names, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        names += node.children
+        todo += node.children
+    rows = spark.range(3000).select("id", S.shard_of(F.col("id"), tree).alias("shard"),
+                                    *[S.draw(F.col("id"), n).alias(n.name) for n in names]).collect()
+    assert all(r.shard == brute(r.asDict(), tree) for r in rows)
+
+
+def test_one_id_in_many_pieces(spark):
+    """Thirty thousand rows of one id are numbered without gaps, piece by piece."""
+    docs = spark.range(30_000).select(F.lit(7).alias("doc_id"), F.lit("x").alias("text"))
+    got = S.place(docs, S.balanced(2, 2, 2), rows_per_piece=100)
+    assert got.select("shard").distinct().count() == 1
+    assert sorted(r.slot for r in got.select("slot").collect()) == list(range(30_000))

@@ -66,7 +66,20 @@ def test_files(spark, edge_docs, no_docs, monkeypatch):
     for i in order:
         want.append((docs[i].doc_id, start, len(ids[i]), zlib.crc32(ids[i].tobytes())))
         start += len(ids[i])
-    for per_file in (3, 4096):
-        got = B.written_and_read(edge_docs, WORDS, 2, docs_per_file=per_file).collect()
+    for files in (5, None):
+        got = B.written_and_read(edge_docs, WORDS, 2, files=files).collect()
         assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert B.written_and_read(no_docs, WORDS, 2).count() == 0
+
+
+def test_one_id_for_a_third_of_the_rows(spark, tmp_path):
+    """Documents with the same id, or none, are cut into files like all others."""
+    docs = spark.range(3000).selectExpr("case when id % 3 = 0 then 7 when id % 3 = 1 then id end as doc_id",
+                                        "concat('word ', id) as text").persist()
+    B.write_files(docs, str(tmp_path / "f"), WORDS, 2, False, files=12)
+    files = spark.read.parquet(str(tmp_path / "f"))
+    sizes = [r[0] for r in files.groupBy("file_no").sum("documents").select("sum(documents)").collect()]
+    assert sum(sizes) == 3000 and len(sizes) >= 10 and max(sizes) < 600
+    rows = sorted(B.read_files(files).collect(), key=lambda r: r.start)
+    assert [r.doc_id or -1 for r in rows] == sorted(r.doc_id or -1 for r in docs.collect())
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))

@@ -26,6 +26,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
+
 #: Rows of a shard that one task numbers.
 ROWS_PER_PIECE = 4096
 
@@ -92,22 +94,24 @@ def shard_of(key: Column, tree: Node) -> Column:
 def place(docs: DataFrame, tree: Node, rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
-    Slots are numbered piece by piece: a shard's rows are dealt to pieces by a
-    hash, counted there, and each piece starts where those before it end.
+    Slots are numbered piece by piece: a shard's rows are dealt to pieces by a hash
+    of their row number, so rows that share an id are dealt like all others; each
+    piece is counted and starts where those before it end.
     """
-    n = docs.count()
-    pieces = max(1, -(-n // (rows_per_piece * sum(1 for _ in tree.shards()))))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
+    # written without texts, so that a row has one number whenever it is read
+    rows = written(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"), shard_of(F.col("doc_id").cast("long"), tree).cast("int").alias("shard"),
         shard_of(F.col("doc_id").cast("long"), grown(tree)).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("piece")), F.lit(pieces)).cast("int").alias("piece"))
+        F.monotonically_increasing_id().alias("row")), "sizes")
+    pieces = max(1, -(-rows.count() // (rows_per_piece * sum(1 for _ in tree.shards()))))
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("row"), F.lit(pieces)).cast("int"))
     counts = rows.groupBy("shard", "piece").agg(F.count("*").alias("rows"))
     before = counts.select("shard", "piece", (F.sum("rows").over(Window.partitionBy("shard").orderBy("piece"))
                                               - F.col("rows")).alias("before"))
-    own = Window.partitionBy("shard", "piece").orderBy("doc_id", "size", "text_crc32")
+    own = Window.partitionBy("shard", "piece").orderBy("row")
     return (rows.withColumn("within", F.row_number().over(own) - 1).join(before, ["shard", "piece"])
             .select("doc_id", "size", "text_crc32", "law", "shard",
                     (F.col("before") + F.col("within")).alias("slot"), "grown_shard"))

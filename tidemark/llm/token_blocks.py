@@ -19,18 +19,18 @@ committer leaves whole files only, whatever executors are lost, and any store
 that Spark reaches will do.  A file is one or more parts of about PART_IDS ids.
 
 Cases: null text counts as empty; a null document id sorts first; equal document
-ids stay separate documents, in the order of their ids' bytes; an empty table gives no files.
+ids stay separate documents, in the order they are read; an empty table gives no files.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +41,8 @@ BLOCK = 128
 #: A block is packed at the width that covers one of these shares of its values, whichever makes it smallest.
 PERCENTILES = (0.8, 0.9, 0.95, 1.0)
 PART_IDS = 1 << 20
-DOCS_PER_FILE = 4096
-#: File bounds are held by the driver; with more documents files get longer.
-MAX_FILES = 100_000
+#: n documents make sqrt(n) / FILES_PER_ROOT files: few short ones, and not millions of them when n is billions.
+FILES_PER_ROOT = 16
 _HEAD = struct.Struct("<4sIQI")
 _MAGIC = b"PFB1"
 _BLOCK_HEAD = 6
@@ -177,73 +176,56 @@ class Part:
         return got[start - first * BLOCK:end - first * BLOCK]
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int, lead: bool, bounds: list[int]) -> DataFrame:
-    """doc_id, file_no, ids (uint32 as binary, uint16 where they fit) of every whole text."""
+def _parts(vocabulary: str, end_id: int, lead: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """file_no, doc_id, text of one file in order to its parts, encoded as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = shared_encoder(vocabulary, lead), np.array([end_id], np.uint32)
-        cut = np.array(bounds, np.int64)
+        docs: list[int | None] = []
+        ids: list[np.ndarray] = []
+        file_no, part_no, size = 0, 0, 0
+
+        def closed() -> pa.RecordBatch:
+            return pa.record_batch({
+                "file_no": pa.array([file_no], pa.int32()), "part_no": pa.array([part_no], pa.int32()),
+                "documents": pa.array([len(docs)], pa.int64()), "ids": pa.array([size], pa.int64()),
+                "payload": pa.array([to_bytes(docs, ids)], pa.large_binary()).cast(pa.binary())})
+
         for batch in batches:
-            for at, found in encoder.batch(batch.column(1)):
-                rows = batch.column(0).slice(at, len(found))
-                ids = [np.concatenate([x, end]) for x in found]
-                small = [x.max() < 1 << 16 for x in ids]
-                yield pa.record_batch({
-                    "doc_id": rows,
-                    "file_no": pa.array(np.searchsorted(cut, pc.fill_null(rows, -(1 << 63)).to_numpy()), pa.int32()),
-                    "small": pa.array(small, pa.bool_()),
-                    "ids": pa.array([x.astype("<u2" if s else "<u4").tobytes()
-                                     for x, s in zip(ids, small, strict=True)], pa.binary())})
-
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, file_no int, small boolean, ids binary"))
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by file and document to file parts."""
-    held: tuple[list, list] = ([], [])
-    file_no, part_no, size = None, 0, 0
-
-    def closed() -> pa.RecordBatch:
-        return pa.record_batch({
-            "file_no": pa.array([file_no], pa.int32()), "part_no": pa.array([part_no], pa.int32()),
-            "documents": pa.array([len(held[0])], pa.int64()), "ids": pa.array([size], pa.int64()),
-            "payload": pa.array([to_bytes(*held)], pa.large_binary()).cast(pa.binary())})
-
-    for batch in batches:
-        for row in zip(*(c for c in batch.columns), strict=True):
-            doc, number, small, raw = (x.as_py() for x in row)
-            if held[0] and (number != file_no or size >= PART_IDS):
-                yield closed()
-                part_no = part_no + 1 if number == file_no else 0
-                held, size = ([], []), 0
-            file_no = number
-            ids = np.frombuffer(raw, "<u2" if small else "<u4").astype(np.uint32)
-            held[0].append(doc)
-            held[1].append(ids)
-            size += len(ids)
-    if held[0]:
-        yield closed()
-
-
-def file_bounds(docs: DataFrame, docs_per_file: int = DOCS_PER_FILE) -> list[int]:
-    """Document ids at which files begin: quantiles, so that files hold equal numbers of documents."""
-    n = docs.count()
-    files = min(MAX_FILES, -(-n // docs_per_file))
-    if files < 2:
-        return []
-    cuts = ", ".join(f"{i / files!r}D" for i in range(1, files))
-    [[bounds]] = docs.select(F.expr(f"percentile_approx(doc_id, array({cuts}), {max(10_000, 4 * files)})")).collect()
-    return sorted(set(bounds or []))
-
-
-def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, lead: bool,
-                docs_per_file: int = DOCS_PER_FILE) -> None:
-    """Encode doc_id, text and write the files below path, ids in ascending doc_id order."""
-    bounds = file_bounds(docs.select("doc_id"), docs_per_file)
-    (encode(docs, vocabulary, end_id, lead, bounds)
-     .repartition(len(bounds) + 1, "file_no").sortWithinPartitions("file_no", "doc_id", "ids")
-     .mapInArrow(_parts, "file_no int, part_no int, documents long, ids long, payload binary")
+            if len(batch):
+                file_no = batch.column(0)[0].as_py()
+            for at, found in encoder.batch(batch.column(2)):
+                for doc, own in zip(batch.column(1).slice(at, len(found)).to_pylist(), found, strict=True):
+                    docs.append(doc)
+                    ids.append(np.concatenate([own, end]))
+                    size += len(own) + 1
+                    if size >= PART_IDS:
+                        yield closed()
+                        docs, ids, part_no, size = [], [], part_no + 1, 0
+        if docs:
+            yield closed()
+
+    return run
+
+
+def files_for(n: int) -> int:
+    """Files for n documents: their number and their length both grow with its root."""
+    return max(1, math.ceil(math.sqrt(n) / FILES_PER_ROOT))
+
+
+def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, lead: bool, files: int | None = None) -> None:
+    """Encode doc_id, text and write the files below path, ids in ascending doc_id order.
+
+    docs is a table or a written frame: rows are numbered as they are read, so that
+    documents with one id are cut into files like all others.  A file is one range
+    of (doc_id, row number), encoded by the task that writes it.
+    """
+    n = files or files_for(docs.count())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.monotonically_increasing_id().alias("row"))
+    (rows.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+     .select(F.spark_partition_id().alias("file_no"), "doc_id", "text")
+     .mapInArrow(_parts(vocabulary, end_id, lead), "file_no int, part_no int, documents long, ids long, payload binary")
      .write.option("compression", "none").parquet(path))
 
 
@@ -280,9 +262,9 @@ def read_files(files: DataFrame) -> DataFrame:
 
 
 def written_and_read(docs: DataFrame, vocabulary: str, end_id: int, lead: bool = False,
-                     docs_per_file: int = DOCS_PER_FILE) -> DataFrame:
+                     files: int | None = None) -> DataFrame:
     """Write the files to the shared folder and read every document back from them."""
     spark = docs.sparkSession
     path = shared_path(spark, "tokens")
-    write_files(docs, path, vocabulary, end_id, lead, docs_per_file)
+    write_files(docs, path, vocabulary, end_id, lead, files)
     return read_files(spark.read.parquet(path))
