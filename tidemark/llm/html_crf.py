@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -51,6 +52,7 @@ _BARRIERS = {"article", "main", "section", "div", "body", "nav", "aside", "heade
              "table", "blockquote", "dl"}
 _TAG_FEATURES = {"article", "main", "section", "nav", "aside", "header", "footer", "form", "ul", "ol", "table",
                  "figure", "blockquote", "dialog", "button", "label", "select", "fieldset", "address", "menu"}
+_HEADINGS = ("h1", "h2")
 _NAMES = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc skip tabs",
     "advert": "ad ads adv advert advertisement sponsor sponsored promo promotion banner adsense outbrain taboola",
@@ -75,21 +77,51 @@ _ATTRIBUTE = re.compile(r"([^\s/>][^\s/=>]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*
 _WORD = re.compile(r"[a-z]+")
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
 class Element:
+    """An open element, linked to the one it stands in, with what a block inherits from all of them.
+
+    Sets are shared with the parent where the element adds nothing, so depth costs
+    one object a level.
+    """
+
     tag: str
     groups: frozenset[str] = frozenset()
     hidden: bool = False
     label: str | None = None
+    parent: Element | None = None
+    tags_above: frozenset[str] = frozenset()
+    groups_above: frozenset[str] = frozenset()
+    inner: str = "none"
+
+    def inside(self, parent: Element | None) -> Element:
+        self.parent = parent
+        tags, groups = (parent.tags_above, parent.groups_above) if parent else (frozenset(), frozenset())
+        own = self.tag in _TAG_FEATURES and self.tag not in tags
+        self.tags_above = tags | {self.tag} if own else tags
+        self.groups_above = groups if self.groups <= groups else groups | self.groups
+        self.inner = self.tag if self.tag not in _INLINE else parent.inner if parent else "none"
+        if self.label is None and parent:
+            self.label = parent.label
+        return self
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[Element, ...]
+    element: Element | None
     link_chars: int
     features: list[str] = field(default_factory=list)
 
+    @property
+    def path(self) -> tuple[Element, ...]:
+        """The open elements from the outermost in."""
+        out, at = [], self.element
+        while at:
+            out.append(at)
+            at = at.parent
+        return tuple(reversed(out))
+
 
 def _element(tag: str, attributes: str) -> Element:
     if not attributes.strip():
@@ -106,6 +138,7 @@ def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
     stack: list[Element] = []
+    open_tags: Counter[str] = Counter()
     held: list[str] = []
     links = link_chars = hidden = 0
 
@@ -114,13 +147,14 @@ def blocks(page: str) -> list[Block]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append(Block(text, tuple(stack), link_chars))
+                out.append(Block(text, stack[-1] if stack else None, link_chars))
             held.clear()
         link_chars = 0
 
     def pop() -> None:
         nonlocal links, hidden
         gone = stack.pop()
+        open_tags[gone.tag] -= 1
         links -= gone.tag == "a"
         hidden -= gone.hidden
 
@@ -141,7 +175,7 @@ def blocks(page: str) -> list[Block]:
         if tag not in _INLINE:
             close()
         if token[1] or token[4]:
-            if any(e.tag == tag for e in stack):
+            if open_tags[tag]:
                 while stack[-1].tag != tag:
                     pop()
                 pop()
@@ -152,15 +186,17 @@ def blocks(page: str) -> list[Block]:
             finish = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
             at = finish.end() if finish else n
         elif tag not in _VOID and not alone:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in _CLOSED_BY.get(tag, ()):
+            closes = _CLOSED_BY.get(tag, ())
+            for i in range(len(stack) - 1, -1, -1) if any(open_tags[t] for t in closes) else ():
+                if stack[i].tag in closes:
                     while len(stack) > i:
                         pop()
                     break
                 if stack[i].tag in _BARRIERS:
                     break
-            element = _element(tag, attributes or "")
+            element = _element(tag, attributes or "").inside(stack[-1] if stack else None)
             stack.append(element)
+            open_tags[tag] += 1
             links += tag == "a"
             hidden += element.hidden
     close()
@@ -170,25 +206,25 @@ def blocks(page: str) -> list[Block]:
 def _describe(page: list[Block]) -> None:
     """Give every block its features."""
     total, heading = len(page), False
-    paths: dict[tuple[int, ...], list[str]] = {}
+    inherited: dict[tuple, list[str]] = {}
     for place, block in enumerate(page):
-        key = tuple(map(id, block.path))
-        if key not in paths:
-            tags = {e.tag for e in block.path}
-            groups = {g for e in block.path for g in e.groups}
-            inner = next((e.tag for e in reversed(block.path) if e.tag not in _INLINE), "none")
-            paths[key] = ([f"in:{t}" for t in tags & _TAG_FEATURES] + [f"name:{g}" for g in groups]
-                          + [f"leaf:{inner}"] + ["bare"] * (not tags & _TAG_FEATURES and not groups))
+        at = block.element
+        key = (at.tags_above, at.groups_above, at.inner) if at else (frozenset(), frozenset(), "none")
+        if key not in inherited:
+            tags, groups, inner = key
+            inherited[key] = ([f"in:{t}" for t in sorted(tags)] + [f"name:{g}" for g in sorted(groups)]
+                              + [f"leaf:{inner}"] + ["bare"] * (not tags and not groups))
         text, words = block.text, block.text.count(" ") + 1
         linked = block.link_chars / max(1, len(text))
-        f = block.features = list(paths[key])
+        f = block.features = list(inherited[key])
         f.append("words:" + ("1-2" if words < 3 else "3-5" if words < 6 else "6-12" if words < 13 else
                              "13-30" if words < 31 else "31+"))
         f.append("linked:" + ("none" if not linked else "some" if linked < 0.4 else "most"))
         f.append("ends:" + ("mark" if text[-1] in ".!?…\"'”»" else "else"))
         if _STOCK.search(text):
             f.append("stock")
-        heading = heading or block.path[-1:] != () and any(e.tag in ("h1", "h2") for e in block.path[-2:])
+        heading = heading or at is not None and (
+            at.tag in _HEADINGS or at.parent is not None and at.parent.tag in _HEADINGS)
         f.append("after heading" if heading else "before heading")
         if place == 0:
             f.append("first")
@@ -230,6 +266,36 @@ class Model:
         return [bool(x) for x in reversed(out)]
 
 
+def gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, w: np.ndarray,
+              t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of labels y and its gradients by weights and pairs, by forward and backward sums.
+
+    x (pages, blocks, features), y and mask (pages, blocks); pages are padded at their end.
+    """
+    n, length = mask.shape
+    unary = np.stack([np.zeros((n, length)), (x @ w.astype(x.dtype)).astype(float)], axis=2)
+    both = mask[:, 1:]
+    seen_t = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)], float)
+    forward = np.zeros((n, length, 2))
+    forward[:, 0] = unary[:, 0]
+    for j in range(1, length):
+        step = np.logaddexp(forward[:, j - 1, 0, None] + t[0], forward[:, j - 1, 1, None] + t[1]) + unary[:, j]
+        forward[:, j] = np.where(mask[:, j, None], step, forward[:, j - 1])
+    total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+    backward = np.zeros((n, length, 2))
+    expected_t = np.zeros((2, 2))
+    for j in range(length - 2, -1, -1):
+        later = unary[:, j + 1] + backward[:, j + 1]
+        step = np.logaddexp(t[:, 0] + later[:, 0, None], t[:, 1] + later[:, 1, None])
+        backward[:, j] = np.where(mask[:, j + 1, None], step, backward[:, j + 1])
+        pair = np.exp(forward[:, j, :, None] + t + later[:, None, :] - total[:, None, None])
+        expected_t += pair[mask[:, j + 1]].sum(axis=0)
+    content = np.exp(forward[:, :, 1] + backward[:, :, 1] - total[:, None]) * mask
+    own = ((unary[:, :, 1] * y) * mask).sum() + (seen_t * t).sum()
+    return (float(own - total.sum()), np.einsum("ijk,ij->k", x, ((y * mask) - content).astype(x.dtype)),
+            seen_t - expected_t)
+
+
 def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, l2: float = 0.02, rate: float = 0.3) -> Model:
     """Maximum likelihood by full gradients; pages of all lengths at once, padded and masked."""
     names = sorted({f for page, _ in pages for b in page for f in b.features})
@@ -243,30 +309,12 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, l2: flo
         for j, block in enumerate(page):
             x[i, j, [number[f] for f in block.features]] = 1
     w, t = np.zeros(len(names)), np.zeros((2, 2))
-    gold_w = np.einsum("ijk,ij->k", x, (y * mask).astype(np.float32))
-    both = mask[:, 1:]
-    gold_t = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)], float)
     squares_w, squares_t = np.full(len(names), 1e-6), np.full((2, 2), 1e-6)
     scale = mask.sum()
     for _ in range(rounds):
-        unary = np.stack([np.zeros((n, length)), (x @ w.astype(np.float32)).astype(float)], axis=2)
-        forward = np.zeros((n, length, 2))
-        forward[:, 0] = unary[:, 0]
-        for j in range(1, length):
-            step = np.logaddexp(forward[:, j - 1, 0, None] + t[0], forward[:, j - 1, 1, None] + t[1]) + unary[:, j]
-            forward[:, j] = np.where(mask[:, j, None], step, forward[:, j - 1])
-        total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-        backward = np.zeros((n, length, 2))
-        expected_t = np.zeros((2, 2))
-        for j in range(length - 2, -1, -1):
-            later = unary[:, j + 1] + backward[:, j + 1]
-            step = np.logaddexp(t[:, 0] + later[:, 0, None], t[:, 1] + later[:, 1, None])
-            backward[:, j] = np.where(mask[:, j + 1, None], step, backward[:, j + 1])
-            pair = np.exp(forward[:, j, :, None] + t + later[:, None, :] - total[:, None, None])
-            expected_t += pair[mask[:, j + 1]].sum(axis=0)
-        content = np.exp(forward[:, :, 1] + backward[:, :, 1] - total[:, None]) * mask
-        grad_w = (gold_w - np.einsum("ijk,ij->k", x, content.astype(np.float32))) / scale - l2 * w / len(names)
-        grad_t = (gold_t - expected_t) / scale - l2 * t / len(names)
+        _, by_w, by_t = gradients(x, y, mask, w, t)
+        grad_w = by_w / scale - l2 * w / len(names)
+        grad_t = by_t / scale - l2 * t / len(names)
         squares_w += grad_w ** 2
         squares_t += grad_t ** 2
         w += rate * grad_w / np.sqrt(squares_w)
@@ -317,6 +365,14 @@ def layouts(title: str, paragraphs: list[str], spare: list[str], rng: np.random.
            "</article></main>" + one("side") + one("foot"))
     yield one("nav") + f'<div class="post-content">{content(inside)}</div>' + some("comment", "form", "side") + one("foot")
     yield some("nav", "advert") + f'<div id="main">{content(body)}</div>' + one("comment") + some("form", "foot")
+    yield (f"<table><tr><td>{menu() if rng.random() < 0.5 else '<br>'.join(item() for _ in range(4))}</td>"
+           f"<td>{content(body)}</td></tr></table>" + one("foot"))
+    second = f"<h2>{esc(title)}</h2>"
+    divided = [second, *[f"<div>{esc(p)}</div>" for p in paragraphs]]
+    name = ("story", "text", "entry", "main-text", "article-body")[rng.integers(5)]
+    yield one("nav") + f'<div class="{name}">{content(divided)}</div>' + some("side", "comment") + one("foot")
+    yield (one("nav") + f"<main><section>{content([second, *body[1:]] if rng.random() < 0.5 else body)}</section></main>"
+           + some("comment", "side", "foot"))
     brief = [f"<p>{esc(' '.join(p.split()[:int(rng.integers(5, 16))]))}.</p>" for p in paragraphs[:4]]
     yield f"<article>{content(brief)}</article>" + some("comment") + one("foot")
     yield content(brief) + some("notice", "foot")
@@ -330,8 +386,8 @@ def labelled(pages: list[str], seed: int = SEED) -> list[tuple[list[Block], list
     outside = {"nav", "aside", "footer", "form"}
     for page in pages:
         found = blocks_with_features(page)
-        own = [int(any(e.tag == "article" for e in b.path) and not any(e.tag in outside for e in b.path))
-               for b in found]
+        own = [int(b.element is not None and "article" in b.element.tags_above
+                   and not b.element.tags_above & outside) for b in found]
         if any(own):
             out.append((found, own))
             articles.append([b.text for b, y in zip(found, own, strict=True) if y])
@@ -343,7 +399,7 @@ def labelled(pages: list[str], seed: int = SEED) -> list[tuple[list[Block], list
     for title, *paragraphs in articles:
         for layout in layouts(title, paragraphs or [title], spare, rng):
             found = blocks_with_features(layout)
-            labels = [next((int(e.label) for e in reversed(b.path) if e.label is not None), 0) for b in found]
+            labels = [int(b.element.label) if b.element and b.element.label is not None else 0 for b in found]
             out.append((found, labels))
     return out
 
