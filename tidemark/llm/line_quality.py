@@ -3,10 +3,13 @@
 Every line is judged by itself and lines that fail are removed; a document that
 loses too much of its words is then rejected.  A line fails by
 
-* punctuation: no end mark on a line of few words; marks of shouting or symbols on
-  many of its words; one word over and over;
-* navigation: its words stand between menu separators;
-* boilerplate: a short line with a stock phrase of web pages.
+* punctuation: marks of shouting or symbols on many of its words; one word over and
+  over;
+* navigation: its words stand between menu separators, or it is one of a run of
+  short lines without end marks (one by itself is a heading, and lines with a
+  bullet or number are a list: both stay);
+* boilerplate: stock phrases of web pages make up a good part of it (a sentence
+  that mentions one stays).
 
 Base measures of the whole text stand before that verdict; see measures().
 
@@ -33,14 +36,18 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: A document is rejected if the lines that stay hold less than this share of its words.
 MIN_KEPT_SHARE = 0.5
+#: A line of fewer words without an end mark may be part of a menu; so many of them in a row are one.
 SHORT_LINE = 4
-BOILERPLATE_WORDS = 20
+MENU_LINES = 3
+#: Stock phrases must hold this share of a line's words.
+MIN_STOCK_SHARE = 1 / 3
 
 # Marks, separators and stock phrases.
 WHITE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 END_MARKS = tuple(".!?…:;\"'”’»)]。！？")
 _SEPARATORS = re.compile(r"[|»›·•→]|(?<=\s)[>/](?=\s)")
+_LIST_ITEM = re.compile(r"\s*(?:[-*•–·]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s")
 _STOCK = re.compile(
     r"all rights reserved|privacy policy|terms of (?:use|service)|cookie|copyright|©|\(c\) \d{4}|javascript"
     r"|click here|sign (?:in|up)|log ?in|subscribe|newsletter|share (?:this|on)|follow us|skip to|back to top"
@@ -81,27 +88,41 @@ def line_fails(line: str, words: list[str]) -> str | None:
             return "punctuation"
         if 10 * sum(a == b for a, b in zip(words, words[1:], strict=False)) > 3 * n:
             return "punctuation"
-    elif not line.rstrip().endswith(END_MARKS):
-        return "punctuation"
     separators = len(_SEPARATORS.findall(line))
     if separators >= 2 and (3 * separators >= n or n <= 6 * (separators + 1) and not line.rstrip().endswith(".")):
         return "navigation"
-    if n <= BOILERPLATE_WORDS and _STOCK.search(line):
+    if sum(len(found.split()) for found in _STOCK.findall(line)) >= MIN_STOCK_SHARE * n:
         return "boilerplate"
     return None
 
 
+def menu_like(line: str, words: list[str]) -> bool:
+    return len(words) < SHORT_LINE and not line.rstrip().endswith(END_MARKS) and not _LIST_ITEM.match(line)
+
+
+def failures(lines: list[str]) -> list[str | None]:
+    """For every line the rule it fails, if any; lines without words fail none."""
+    split = [line.split() for line in lines]
+    out = [line_fails(line, words) if words else None for line, words in zip(lines, split, strict=True)]
+    run: list[int] = []
+    for i, words in enumerate([*split, ["", "", "", "", "end"]]):
+        if not words:  # blank lines do not end a menu
+            continue
+        if i < len(lines) and menu_like(lines[i], words):
+            run.append(i)
+            continue
+        if len(run) >= MENU_LINES:
+            for j in run:
+                out[j] = out[j] or "navigation"
+        run = []
+    return out
+
+
 def cleaned(text: str) -> tuple[str, int]:
     """The text without failing lines, and the words that stay.  Lines without words stay as they are."""
-    kept, words_kept = [], 0
-    for line in text.split("\n"):
-        words = line.split()
-        if not words:
-            kept.append(line)
-        elif line_fails(line, words) is None:
-            kept.append(line)
-            words_kept += len(words)
-    return "\n".join(kept), words_kept
+    lines = text.split("\n")
+    kept = [line for line, rule in zip(lines, failures(lines), strict=True) if rule is None]
+    return "\n".join(kept), sum(len(line.split()) for line in kept)
 
 
 def measures(text: str) -> dict[str, int | bool]:
