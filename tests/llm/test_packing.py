@@ -28,6 +28,34 @@ def test_best_fit_and_bound(lengths):
     assert -(-int(lengths.sum()) // 100) <= bound <= n
 
 
+def fewest(lengths, capacity):
+    """The least number of bins, by trying every place for every length."""
+    best = [len(lengths)]
+
+    def put(at, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if at == len(lengths):
+            best[0] = len(rooms)
+            return
+        for i in {room: i for i, room in enumerate(rooms) if room >= lengths[at]}.values():
+            put(at + 1, [*rooms[:i], rooms[i] - lengths[at], *rooms[i + 1:]])
+        put(at + 1, [*rooms, capacity - lengths[at]])
+
+    put(0, [])
+    return best[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=9))
+def test_against_the_optimum(lengths):
+    """The bound never exceeds the fewest bins there can be, best fit stays near them."""
+    sizes = np.array(sorted(lengths, reverse=True), np.int64)
+    least = fewest(sizes.tolist(), 20)
+    assert P.lower_bound(np.bincount(sizes, minlength=21), 20) <= least
+    assert P.best_fit_decreasing(sizes, 20)[2] <= (11 * least + 6) / 9
+
+
 def test_bound_beats_the_sum():
     assert P.lower_bound(np.bincount([51] * 10, minlength=101), 100) == 10
     assert P.lower_bound(np.bincount([34] * 9, minlength=101), 100) == 5

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import piece_prefix as pp
+from tidemark.llm.queries import QUERIES
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 PARTS = ["a", "e", "th", "in", " ", "  ", " " * 7, " " * 16, "\n", "\t", "▁", "é", "日", "😀", "1", ".", "\0", "\r",
@@ -64,6 +65,17 @@ def test_pairs_against_the_merges(scores, text):
             assert pieces.apart((left, right)) == (pieces.merged(left + right)[0] == [left, right])
 
 
+def test_query_against_the_library(spark, library):
+    folder = "/root/testdata/sf0.001"
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in
+           QUERIES["op13_piece_prefix"](spark, folder).collect()}
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        ids = library.encode(r.text or "")
+        assert got.pop(r.doc_id) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+    assert not got
+
+
 def test_edges(spark, edge_docs, no_docs, library):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pp.round_trip(edge_docs, MODEL).collect()}
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()

@@ -58,6 +58,21 @@ def test_like_a_plain_run(spark):
     assert C.run(spark, FOLDER).count() == tables[3].count()
 
 
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "some text here", "a", 5), (2, "some text here", "b", 6), (3, "another one", "c", 7)],
+                                 "doc_id long, text string, _pipeline_row string, _row int")
+    kept = C.near_duplicates(spark, docs, "unused")
+    assert {tuple(r) for r in kept.collect()} == {(1, "some text here", "a", 5), (3, "another one", "c", 7)}
+
+
+def test_only_the_result_stays(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("tidemark-*"))
+    packed = C.run(spark, FOLDER)
+    assert [p.name.split("-")[1] for p in set(folder.glob("tidemark-*")) - before] == ["packing"]
+    assert packed.count() > 0
+
+
 def test_one_row_of_a_group_stays(spark):
     one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
     rows = [(7, one), (7, one), (5, one), (5, one), (None, one), (None, two), (None, two), (3, three), (9, three), (9, two + " x"),

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import word_runs as wr
+from tidemark.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -90,6 +91,13 @@ def test_report(spark, edge_docs, no_docs):
     assert wr.report(no_docs).count() == 0 and wr.collapse(no_docs).count() == 0
 
 
+def test_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    got = sorted((tuple(r) for r in QUERIES["op12_word_runs"](spark, folder).collect()), key=str)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    assert got == sorted((want(r.doc_id, r.text) for r in docs), key=str) and any(r[1] for r in got)
+
+
 def test_runs_and_collapse(spark):
     docs = spark.createDataFrame([(1, "a b a b a b a b c", "k"), (2, None, None), (3, "x  y\nz", "k")],
                                  "doc_id long, text string, n_runs string")

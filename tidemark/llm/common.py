@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -27,8 +28,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share.
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what operators wrote in between for their own use.
+
+    Frames that they returned still read it: write those inside, with keep=True.
+    One at a time a process.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the folder that the driver and all executors share; without keep it ends with scratch().
 
     The folder is the one the cluster names in spark.checkpoint.dir.  A session
     without it gets no default: a machine-local folder would be wrong there.
@@ -36,15 +60,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    return os.path.join(folder, f"tidemark-{name}-{uuid.uuid4().hex}")
+    path = os.path.join(folder, f"tidemark-{name}-{uuid.uuid4().hex}")
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows of df, written once to the shared folder and read back.
 
     This cuts the lineage: later stages, retries included, read the files.
     """
-    path = shared_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
