@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_quality, packing, pii_spans, simhash_ball
-from tidemark.llm.common import bounded, table, written
+from tidemark.llm.common import bounded, remove, scratch, shared_path, table, written
 from tidemark.llm.queries import END_ID, SEQUENCE_TOKENS
 
-_ROW = "_pipeline_row"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -40,9 +39,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded(spark)
+    row = "_row"
+    while row in docs.columns:  # a name that no column of the input has
+        row += "_"
     # written, so that a row has the same number whenever it is read
-    rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
-    return rows.join(simhash_ball.first_rows(rows, _ROW), _ROW, "left_semi").select(docs.columns)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    return rows.join(simhash_ball.first_rows(rows, row), row, "left_semi").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +64,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's rows are written and read again by the next.
+
+    What a stage wrote for its own use goes when its rows are written, and these go
+    when the next stage has written its own: only the last ones stay.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            path = shared_path(spark, name, keep=True)
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
