@@ -92,8 +92,9 @@ def keys(applier, mapping):
     return set() if state is None else {r[0] for r in state.select(mapping.dst_pks[0]).collect()}
 
 
-def test_graph_of_targets(spark):
-    applier, m = family(spark)
+@pytest.mark.parametrize("task_rows", [skew.TASK_ROWS, 1])
+def test_graph_of_targets(spark, task_rows):
+    applier, m = family(spark, task_rows=task_rows)
     day = T.format(1)
     applier.run(*order(parsed(spark, "f1", [
         f"I|g|s|{day}|1|1", f"I|c1|s|{day}|1|1", f"I|p|s|{day}|1|x", f"I|p|s|{day}|2|y", f"I|p|s|{day}|3|z",
