@@ -43,6 +43,8 @@ HASH_SEED = 42
 _HOLES, _HOLE_BITS = 4, 16
 _KEPT_BITS = 64 - _HOLE_BITS
 _CHUNK = 1 << 16
+#: Fingerprints whose variants one task makes.
+EMIT_ROWS = 16_384
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -181,8 +183,13 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """a < b: linked fingerprints that span the components of all links within RADIUS bits."""
-    return (distinct.select("fp").mapInArrow(_emit, "variant long, fp long")
+    """a < b: linked fingerprints that span the components of all links within RADIUS bits.
+
+    distinct is a written table.  Fingerprints are few bytes and make many
+    variants, so they are dealt by their number, not by their size.
+    """
+    tasks = max(1, -(-distinct.count() // EMIT_ROWS))
+    return (distinct.select("fp").repartition(tasks, "fp").mapInArrow(_emit, "variant long, fp long")
             .repartition("variant").sortWithinPartitions("variant", "fp")
             .mapInArrow(_link, "a long, b long").distinct())
 
@@ -219,7 +226,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _rooted(prints: DataFrame, first: Column) -> DataFrame:
     """fp, first (the smallest `first` of its rows) and root (its component) of every distinct fingerprint."""
-    distinct = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    distinct = written(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
     return written(distinct.join(components(links(distinct)).withColumnRenamed("node", "fp"), "fp", "left")
                    .withColumn("root", F.coalesce("root", "fp")), "rooted")
 
