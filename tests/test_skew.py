@@ -123,3 +123,11 @@ def test_comparison_by_digests(spark):
     assert reconcile.differing_parts(source, source, "k", ["v", "n", "w"]).isEmpty()
     plan = reconcile.compare_by_digest(source, source, "k", ["v", "n", "w"])._jdf.queryExecution().optimizedPlan()
     assert "Join" not in plan.toString() or "LocalLimit 0" in plan.toString() or plan.toString().startswith("LocalRelation")
+
+
+def test_profile_of_a_sample_drawn_before(spark):
+    """Rows made of a sample of their source show the same hot keys as a sample of the rows."""
+    source = spark.range(400_000)
+    made = lambda df: df.select(F.when(F.col("id") % 4 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    profile = skew.profile_keys(made(source.sample(skew.sample_rate(50_000), seed=1)), ["k"], 50_000, drawn=True)
+    assert profile.hot.count() == 1 and 0.8 < profile.hot_rows / 100_000 < 1.2

@@ -52,19 +52,25 @@ def no_hot_keys(keys: list[str], task_rows: int = TASK_ROWS) -> KeyProfile:
     return KeyProfile(tuple(keys), task_rows)
 
 
-def profile_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> KeyProfile:
+def sample_rate(task_rows: int = TASK_ROWS) -> float:
+    """The share of rows that shows a key of ``task_rows`` rows."""
+    return min(1.0, SAMPLED_ROWS / task_rows)
+
+
+def profile_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS, drawn: bool = False) -> KeyProfile:
     """Hot keys by counts over a sample of the key columns.
 
     The sample is as thin as a key at the limit allows, so it costs one scan of
-    the key columns and a shuffle of a thousandth of their rows.  The hot keys
-    stay a table: their number grows with the input.  It is written and read
-    back, so every later use of them agrees even when a sample drawn again from
-    recomputed rows would not.
+    the key columns and a shuffle of a thousandth of their rows.  Where rows are
+    costly to make, draw from what they are made of at sample_rate() and pass the
+    few rows made of that (``drawn``).  The hot keys stay a table: their number
+    grows with the input.  It is written and read back, so every later use of them
+    agrees even when a sample drawn again from recomputed rows would not.
     """
-    rate = min(1.0, SAMPLED_ROWS / task_rows)
-    drawn = df.select(key_hash(keys).alias("_h"))
-    drawn = drawn if rate == 1.0 else drawn.sample(rate, seed=17)
-    hot = drawn.groupBy("_h").count().filter(F.col("count") > rate * task_rows).persist()
+    rate = sample_rate(task_rows)
+    sample = df.select(key_hash(keys).alias("_h"))
+    sample = sample if drawn or rate == 1.0 else sample.sample(rate, seed=17)
+    hot = sample.groupBy("_h").count().filter(F.col("count") > rate * task_rows).persist()
     rows = hot.agg(F.sum("count")).first()[0]
     if not rows:
         hot.unpersist()

@@ -351,11 +351,11 @@ def cdc_lines(spark: SparkSession, sf: str) -> DataFrame:
         "'CDC_TXN_' || cast(k as string) || '.csv' as file_name", "k", "line_num", "line")
 
 
-def cdc_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Parsed data rows with one number for the commit order."""
+def cdc_rows(spark: SparkSession, sf: str, rate: float = 1.0) -> DataFrame:
+    """Parsed data rows with one number for the commit order; below a rate of 1 of a sample of the lines."""
     from tidemark.sources.cdc import parse
     lines = cdc_lines(spark, sf).withColumn("seq", F.col("k") * 1000 + F.col("line_num"))
-    return parse(lines.drop("k"))
+    return parse((lines if rate == 1.0 else lines.sample(rate, seed=29)).drop("k"))
 
 
 def write_lines(lines: DataFrame, path: str, folder: str, order: list[str]) -> None:

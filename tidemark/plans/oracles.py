@@ -626,6 +626,10 @@ SELECT o_orderkey, CASE WHEN turn = 1 OR freed AND turn = 2 THEN 'SUCCESS' ELSE
        CASE WHEN freed THEN turn = 2 ELSE turn = 1 END AS held
 FROM (SELECT o_orderkey, o_custkey % 7 = 0 AS freed, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS turn
       FROM orders)""")
+oracle("stream_retention", "", """
+SELECT 'FAILED' AS status, CAST(DATE '2026-01-01' + 180 AS VARCHAR) AS expires_on, count(*) AS row_count
+FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS turn FROM orders) WHERE turn > 1
+HAVING count(*) > 0""")
 oracle("stream_dependents", "", """
 WITH items AS (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey IN (SELECT o_orderkey FROM orders) AS known FROM lineitem),
 said AS (

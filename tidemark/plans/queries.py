@@ -11,7 +11,7 @@ from tidemark.functions import conversions as conv
 from tidemark.functions import keys as keyfn
 from tidemark.functions.scalars import epoch_seconds, file_event_id
 from tidemark.operators import apply as ap
-from tidemark.operators import audit, fold, keyring, naming, ordering, project, reconcile, validate
+from tidemark.operators import audit, fold, keyring, naming, ordering, project, reconcile, skew, validate
 from tidemark.operators.store import KeyedTable
 from tidemark.plans import fixtures as fx
 from tidemark.session import configure, fresh_path
@@ -378,7 +378,8 @@ def _applied(spark, sf, which: str) -> ap.Applied:
     group, named = ((_policy_group(spark), _named_policy(spark, sf)) if which.startswith("policy")
                     else (_claim_group(spark), _named_claim(spark, sf)))
     mapping = next(m for m in group if m.dst_table == which)
-    return ap.apply_one(named, mapping, fx.targets()[mapping.target])
+    few = naming.name_columns(fx.cdc_rows(spark, sf, skew.sample_rate()), group)
+    return ap.apply_one(named, mapping, fx.targets()[mapping.target], sample=few)
 
 
 @query
@@ -399,7 +400,8 @@ def keyring_cdc(spark, sf):
 
 @query
 def apply_isolated(spark, sf):
-    done = ap.apply_isolated(fx.cdc_rows(spark, sf), fx.insurance(spark), fx.targets())
+    done = ap.apply_isolated(fx.cdc_rows(spark, sf), fx.insurance(spark), fx.targets(),
+                             sample=fx.cdc_rows(spark, sf, skew.sample_rate()))
     out = None
     for name, result in done.items():
         one = (result.events.groupBy("decision").agg(n_rows("event_count"))
