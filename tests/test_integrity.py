@@ -144,6 +144,18 @@ def test_no_child_without_its_parent(spark, monkeypatch):
     assert [keys(applier, m[t]) for t in ("p", "c1", "g")] == [set(), set(), set()]
 
 
+def test_no_child_of_a_parent_that_cannot_be_decided(spark, monkeypatch):
+    """The parent fails after its children were decided, in the pass for deletes."""
+    applier, m = family(spark)
+    decide = st.delete_fold
+    monkeypatch.setattr(st, "delete_fold", lambda node, *rest: 1 / 0 if node.spec.keys == ("cid",) else decide(node, *rest))
+    day = T.format(1)
+    applier.run(*order(parsed(spark, "f1", [f"I|p|s|{day}|1|x", f"I|c1|s|{day}|1|1", f"I|g|s|{day}|1|1"]), 1))
+    assert [keys(applier, m[t]) for t in ("p", "c1", "g")] == [{1}, set(), set()]
+    got = {r.src_table: (r.status, r.error_message) for r in applier.audit().collect()}
+    assert got["g"] == ("FAILED", "FOREIGN_KEY:cid") and "ZeroDivisionError" in got["c1"][1] and got["p"][0] == "SUCCESS"
+
+
 def test_compaction_is_not_the_rows_fault(spark, monkeypatch):
     applier, m = family(spark, compact_every=1)
     monkeypatch.setattr(KeyedTable, "compact", lambda self, upto: 1 / 0)

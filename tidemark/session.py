@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,14 +57,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-_OPEN: list[list[str]] = []
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, never reused path below the shared folder; inside scratch() it goes when that ends."""
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    held = _SCRATCH.get()
+    if held is not None:
+        held.append(path)
     return path
 
 
@@ -80,13 +82,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Remove at the end what operators wrote in between for their own use.
+    """Remove at the end what operators wrote in between for their own use, in threads that carry the context too.
 
-    Results that still read it must have been written before.  One at a time a process.
+    Results that still read it must have been written before.
     """
-    _OPEN.append([])
+    held: list[str] = []
+    token = _SCRATCH.set(held)
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        _SCRATCH.reset(token)
+        for path in held:
             remove(spark, path)
