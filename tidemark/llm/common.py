@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import uuid
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OPEN: list[list[str]] = []
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("llm-scratch", default=None)
 
 
 @contextlib.contextmanager
@@ -36,13 +37,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove at the end what operators wrote in between for their own use.
 
     Frames that they returned still read it: write those inside, with keep=True.
-    One at a time a process.
     """
-    _OPEN.append([])
+    held: list[str] = []
+    token = _SCRATCH.set(held)
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        _SCRATCH.reset(token)
+        for path in held:
             remove(spark, path)
 
 
@@ -61,8 +63,9 @@ def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     if not folder:
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     path = os.path.join(folder, f"tidemark-{name}-{uuid.uuid4().hex}")
-    if _OPEN and not keep:
-        _OPEN[-1].append(path)
+    held = _SCRATCH.get()
+    if held is not None and not keep:
+        held.append(path)
     return path
 
 
