@@ -17,8 +17,8 @@ the expansion is.
 
 Turns are numbered without bringing a conversation together and grouped in blocks
 of BLOCK_TURNS.  An example takes the turns of its own block from there and the
-text of each block before it by a join, so whatever share of the rows one
-conversation has, a task never holds more of it than one example does.
+text before its block by a join, so whatever share of the rows one conversation
+has, a task never holds more of it than one example does.
 
 Cases: null text or role is empty; turns are put in order of their number, equal
 or null numbers by role and text; repeated rows are turns of their own; a null
@@ -102,14 +102,17 @@ def expand(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
         F.when(is_reply, F.concat(before, _opened(reply))).otherwise(before).alias("context"),
         F.when(is_reply, escaped(reply["text"])).alias("target"),
         F.when(is_reply, F.lit(CLOSING)).otherwise(F.lit("")).alias("tail")))
+    # what stands before a block is put together once a block, not once an example
     texts = blocks.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"),
                           F.array_join("written", "").alias("_text"))
+    heads = (blocks.filter("block > 0").select("conv_id", "block")
+             .join(texts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_b") < F.col("block")))
+             .groupBy(F.col("conv_id").alias("_c"), F.col("block").alias("_b"))
+             .agg(F.array_join(F.sort_array(F.collect_list(F.struct(F.col("_b").alias("at"), "_text")))["_text"], "")
+                  .alias("_head")))
     far = (examples.filter("block > 0")
-           .join(texts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_b") < F.col("block")))
-           .groupBy("conv_id", "example", "context", "target", "tail")
-           .agg(F.sort_array(F.collect_list(F.struct("_b", "_text"))).alias("_parts"))
-           .withColumn("context", F.concat(F.array_join(F.col("_parts._text"), ""), F.col("context")))
-           .drop("_parts"))
+           .join(heads, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
+           .withColumn("context", F.concat("_head", "context")).drop("block", "_c", "_b", "_head"))
     return examples.filter("block = 0").drop("block").unionByName(far)
 
 
