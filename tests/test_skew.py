@@ -131,3 +131,11 @@ def test_profile_of_a_sample_drawn_before(spark):
     made = lambda df: df.select(F.when(F.col("id") % 4 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
     profile = skew.profile_keys(made(source.sample(skew.sample_rate(50_000), seed=1)), ["k"], 50_000, drawn=True)
     assert profile.hot.count() == 1 and 0.8 < profile.hot_rows / 100_000 < 1.2
+
+
+def test_pieces_of_a_few_rows_stay_as_few_as_a_shuffle_has_partitions(spark):
+    rows = spark.range(2000).select((F.col("id") % 10).alias("k"))
+    profile = skew.profile_keys(rows, ["k"], task_rows=5)
+    assert profile.hot_rows == 2000 and profile.pieces() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # pieces of full size are as many as the rows ask for
+    assert skew.KeyProfile(("k",), skew.TASK_ROWS, profile.hot, 900 * skew.TASK_ROWS).pieces() == 900
