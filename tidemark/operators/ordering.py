@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +18,16 @@ def with_rank(rows: DataFrame, ranks: DataFrame) -> DataFrame:
             .withColumn("dep_rank", F.coalesce("dep_rank", F.lit(UNKNOWN_RANK))))
 
 
-def fk_order(ranked: DataFrame, piece: int = PIECE_LINES) -> DataFrame:
+def fk_order(ranked: DataFrame, piece: int = PIECE_LINES,
+             keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Place of each row after the stable parent-first sort of its file.
 
     Numbering runs inside (file, rank, piece of lines), and one count per such
     group shifts it, so a file that holds most of the data is numbered by many
-    tasks.
+    tasks.  ``keep`` writes the rows, which both read: rows that are costly to make
+    are then made once.
     """
-    pieces = ranked.withColumn("_piece", F.floor(F.col("line_num") / piece))
+    pieces = (keep(ranked) if keep else ranked).withColumn("_piece", F.floor(F.col("line_num") / piece))
     group = ["file_name", "dep_rank", "_piece"]
     inside = Window.partitionBy(*group).orderBy("line_num")
     before = (Window.partitionBy("file_name").orderBy("dep_rank", "_piece")
