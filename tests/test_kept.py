@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import apply as ap
-from tidemark.operators import naming
+from tidemark.operators import keyring, naming, ordering
 from tidemark.plans import fixtures as fx
+from tidemark.plans import queries
 from tidemark.session import fresh_path, kept
 from tidemark.sources import cdc
 from tidemark.sources.metadata import by_source
@@ -104,3 +105,57 @@ def test_line_numbers_meet_starts_of_known_size(spark, tmp_path):
     assert sorted((r.file_name[-5], r.line_num) for r in lines.collect()) == [
         *[("a", i) for i in range(1, 6)], *[("b", i) for i in range(1, 4)]]
     assert "parquet" in lines._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_key_fields_come_from_the_data(spark):
+    maps = spark.createDataFrame([("s", "t", "b, none ,a", ["a", "b", "c"]), ("s", "u", "k", ["k"])],
+                                 "src_schema string, src_table string, src_pks string, fields array<string>")
+    rows = spark.createDataFrame([(1, "s", "t", [" x ", "y", "z"]), (2, "s", "t", ["x"]), (3, "s", "u", []),
+                                  (4, "s", "strange", ["1"])],
+                                 "seq int, src_schema string, src_table string, data array<string>")
+    plain = naming.key_map(naming.named_map(rows, maps))
+    lean = naming.key_map(naming.named_map(rows, maps, keep_data=True))
+    said = {r.seq: r.pk_values for r in lean.collect()}
+    assert said == {r.seq: r.pk_values for r in plain.collect()}
+    assert said == {1: {"b": "y", "none": None, "a": "x"}, 2: {"b": None, "none": None, "a": "x"}, 3: {"k": None}}
+    assert [r.event_data for r in lean.orderBy("seq").collect()] == [r.event_data for r in plain.orderBy("seq").collect()]
+    plan = lean.select("seq", "pk_values")._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_data" not in plan and "element_at" not in plan
+
+
+def test_order_reads_rows_that_were_made_once(spark):
+    rows = spark.createDataFrame([("f", n, r) for n, r in ((1, 2), (2, 1), (3, 2), (4, 1))] + [("g", 1, 1)],
+                                 "file_name string, line_num int, dep_rank int")
+    calls, keep = counted()
+    got = ordering.fk_order(rows, 2, keep)
+    assert {(r.file_name, r.line_num): r.position for r in got.collect()} == {
+        ("f", 2): 1, ("f", 4): 2, ("f", 1): 3, ("f", 3): 4, ("g", 1): 1}
+    assert len(calls) == 1 and "LocalRelation" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_of_deletes_come_from_lines_parsed_once(spark, tmp_path):
+    stamp = "timestamp_ntz'2024-01-02 00:00:00'"
+    tables = {"orders": f"select id o_orderkey, id % 7 o_custkey, {stamp} o_orderdate, 1.5d o_totalprice from range(1, 200)",
+              "customer": "select id c_custkey, 'c' c_name, 'M' c_mktsegment from range(7)",
+              "lineitem": f"select id l_orderkey, 1 l_linenumber, 2.5d l_extendedprice, 'A' l_returnflag, {stamp} l_shipdate "
+                          "from range(1, 200)"}
+    for name, text in tables.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = queries.CATALOGUE["delete_keys"](spark, str(tmp_path))
+    rows = {(r.table_name, r.key_text) for r in got.collect()}
+    assert ("policy", str(1000000 + 2 * 25)) in rows and ("claim", str(2000000 + 2 * (50 * 8 + 1))) in rows
+    assert {t for t, _ in rows} == {"policy", "policy_keyring", "claim", "claim_keyring"} and len(rows) == 2 * (7 + 3)
+    assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gaps_are_counted_without_a_join(spark, monkeypatch):
+    base = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("d",)], "n string")
+    ring = spark.createDataFrame([("a",), ("x",), ("x",), (None,), (None,), ("y",), ("y",), ("y",), ("y",), ("y",)], "legacy string")
+    expected = [("b", "NO_TOKEN"), ("d", "NO_TOKEN"), (None, "NO_BASE_ROW"), (None, "NO_BASE_ROW"),
+                *[("x", "NO_BASE_ROW")] * 2, *[("y", "NO_BASE_ROW")] * 5]
+    for repeats in (2, 5, 100):
+        monkeypatch.setattr(keyring, "REPEATS", repeats)
+        got = keyring.keyring_gaps(base, "n", ring, "legacy")
+        assert got.columns == ["number", "gap"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
