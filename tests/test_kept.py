@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import apply as ap
-from tidemark.operators import keyring, naming, ordering
+from tidemark.operators import keyring, naming, ordering, unique
 from tidemark.plans import fixtures as fx
 from tidemark.plans import queries
 from tidemark.session import fresh_path, kept
@@ -159,3 +159,28 @@ def test_gaps_are_counted_without_a_join(spark, monkeypatch):
         assert got.columns == ["number", "gap"]
         assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_a_batch_are_split_once(spark):
+    texts = [*LINES, "I|short|s|t", "", "B|1|1|t", 'U|policy|insurance|t|"open', " u | Policy|INSURANCE |t|7", "X", "|||||"]
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "file_name string, line_pos long, line string")
+    calls, keep = counted()
+    rows, rejected = cdc.read_once(lines, keep)
+    plain = cdc.classify(lines)
+    for got, expected in ((rows, cdc.data_rows(plain, raw=True)), (rejected, cdc.rejected_rows(plain))):
+        assert got.columns == expected.columns and sorted(got.collect()) == sorted(expected.collect())
+        assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and rejected.count() == 3
+
+
+def test_holdings_are_made_once(spark):
+    at = "struct<kind:int,pos:struct<n:int>>"
+    held = spark.createDataFrame(
+        [("A", 1, (1, (1,)), (2, None)), ("A", 2, (1, (2,)), (2, None)), ("B", 3, (1, (3,)), (2, None)),
+         ("C", 4, (0, None), (1, (5,))), ("C", 5, (1, (4,)), (2, None)), ("C", 6, (1, (6,)), (2, None))],
+        f"num string, k int, since {at}, until {at}")
+    calls, keep = counted()
+    got = unique.refused(held, "num", ["k"], keep=keep)
+    assert {(r.num, r.k) for r in got.collect()} == {("A", 2), ("C", 5)}
+    assert sorted(got.collect(), key=str) == sorted(unique.refused(held, "num", ["k"]).collect(), key=str)
+    assert len(calls) == 2 and "LocalRelation" not in got._jdf.queryExecution().optimizedPlan().toString()
