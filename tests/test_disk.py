@@ -4,9 +4,13 @@ import time
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.apply import Target
 from tidemark.operators.fold import FoldSpec, final_state, fold
+from tidemark.operators.validate import ColumnSpec, TableSpec
 from tidemark.plans import queries
-from tidemark.session import fresh_path, kept
+from tidemark.session import folder, fresh_path, kept
+from tidemark.sources.metadata import Mapping, Rule
+from tidemark.streaming import apply_stream as st
 
 STAMP = "timestamp_ntz'2024-01-02 00:00:00'"
 TABLES = {
@@ -66,3 +70,53 @@ def test_values_nobody_reads_are_not_brought_together(spark):
     assert "long" not in plan
     assert sorted((r.pk, r.v, r.last_seq.seq, r.is_deleted) for r in state.collect()) == [
         (k, "long", 6 + k, False) for k in range(3)]
+
+
+def table(map_id, name, key, *columns, **more):
+    rules = tuple(Rule(c, "VARCHAR", c, t, "DIRECT", None, i) for i, (c, t) in enumerate(((key, "BIGINT"), *columns), 1))
+    spec = TableSpec(f"t.{name}", (key,), (ColumnSpec(key, "BIGINT"), *(ColumnSpec(c, t, False) for c, t in columns)), **more)
+    return Mapping(map_id, "s", name, "t", name, (key,), (key,), map_id, "CDC", rules), Target(spec)
+
+
+def lines(spark, name, texts):
+    return spark.createDataFrame([(name, i // 2, t) for i, t in enumerate(texts)],
+                                 "file_name string, line_pos long, line string")
+
+
+def test_folds_carry_no_lines_and_go_before_the_records(spark, monkeypatch):
+    pairs = [table(1, "p", "pid", ("v", "VARCHAR"), unique=("v",)),
+             table(2, "c", "cid", ("pid", "BIGINT"), parent=("pid", "t.p", "pid"))]
+    applier = st.ChangeApplier(spark, fresh_path(spark, "target"), {m.target: t for m, t in pairs}, lambda: [m for m, _ in pairs])
+    fed, there, write, fold_up = [], [], applier._write, st.upsert_fold
+
+    def spied_write(name, parts, batch_id, by=None):
+        where, fs = folder(spark, applier._work(batch_id))
+        there.append(fs.exists(where))
+        write(name, parts, batch_id, by)
+
+    def spied_fold(node, *rest):
+        fed.append(node.feed.columns)
+        return fold_up(node, *rest)
+
+    monkeypatch.setattr(applier, "_write", spied_write)
+    monkeypatch.setattr(st, "upsert_fold", spied_fold)
+    day = "2026-06-01 10:00:00"
+    # two lines to a place, and some lines twice at one: each has its own record
+    first = [f"I|p|s|{day}|1|a", f"I|p|s|{day}|2|a", f"I|c|s|{day}|1|1", f"I|c|s|{day}|1|1", f"I|c|s|{day}|5|9",
+             f"I|c|s|{day}|5|9", f"I|c|s|{day}||1", f"I|p|s|{day}|3|x"]
+    applier.run_lines(lines(spark, "f1", first), 1)
+    applier.run_lines(lines(spark, "f2", [f"I|p|s|{day}|9|b", f"D|p|s|{day}|1|", f"U|c|s|{day}|7|8"]), 2)
+    records = [(r.batch_id, r.line, r.status, r.error_message, len(r.data))
+               for r in applier.audit().collect()]
+    assert sorted(r for r in records if r[0] == 1) == sorted([
+        (1, first[0], "SUCCESS", "", 2), (1, first[1], "FAILED", "UNIQUE:v", 2), (1, first[7], "SUCCESS", "", 2),
+        *[(1, first[2], "SUCCESS", "", 2)] * 2, *[(1, first[4], "FAILED", "FOREIGN_KEY:pid", 2)] * 2,
+        (1, first[6], "FAILED", "NOT_NULL:cid", 2)])
+    assert sorted((line, status, error) for batch, line, status, error, _ in records if batch == 2) == sorted([
+        (first[1], "FAILED", "UNIQUE:v"), *[(first[4], "SUCCESS", "")] * 2, (first[6], "FAILED", "NOT_NULL:cid"),
+        (f"I|p|s|{day}|9|b", "SUCCESS", ""), (f"D|p|s|{day}|1|", "FAILED", "RESTRICT:pid"),
+        (f"U|c|s|{day}|7|8", "FAILED", "FOREIGN_KEY:pid")])
+    assert {tuple(r) for r in applier.state(pairs[1][0]).select("cid", "pid").collect()} == {(1, 1), (5, 9)}
+    assert {tuple(r) for r in applier.index(pairs[1][0], "pid").read().select("pid", "cid").collect()} == {(1, 1), (9, 5)}
+    assert fed and not {"line", "data", "event_id", "src_table", "event_ts"} & {c for columns in fed for c in columns}
+    assert there and not any(there)
