@@ -2,6 +2,7 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.apply import Target
@@ -83,11 +84,13 @@ def lines(spark, name, texts):
                                  "file_name string, line_pos long, line string")
 
 
-def test_folds_carry_no_lines_and_go_before_the_records(spark, monkeypatch):
+@pytest.mark.parametrize("few", [st.FEW_DECISIONS, 0])
+def test_folds_carry_no_lines_and_go_before_the_records(spark, monkeypatch, few):
+    monkeypatch.setattr(st, "FEW_DECISIONS", few)  # the other decisions are met by a broadcast or by a shuffle
     pairs = [table(1, "p", "pid", ("v", "VARCHAR"), unique=("v",)),
              table(2, "c", "cid", ("pid", "BIGINT"), parent=("pid", "t.p", "pid"))]
     applier = st.ChangeApplier(spark, fresh_path(spark, "target"), {m.target: t for m, t in pairs}, lambda: [m for m, _ in pairs])
-    fed, there, write, fold_up = [], [], applier._write, st.upsert_fold
+    fed, onto, there, write, fold_up = [], [], [], applier._write, st.upsert_fold
 
     def spied_write(name, parts, batch_id, by=None):
         where, fs = folder(spark, applier._work(batch_id))
@@ -96,6 +99,10 @@ def test_folds_carry_no_lines_and_go_before_the_records(spark, monkeypatch):
 
     def spied_fold(node, *rest):
         fed.append(node.feed.columns)
+        onto.append((node.spec.keys[0], node.base is not None, node.spec.retried))
+        for rows in (node.feed, node.base):  # both read what is written: lines and tables are not read again
+            if rows is not None:
+                assert all("/work/" in f for f in rows.inputFiles())
         return fold_up(node, *rest)
 
     monkeypatch.setattr(applier, "_write", spied_write)
@@ -120,3 +127,22 @@ def test_folds_carry_no_lines_and_go_before_the_records(spark, monkeypatch):
     assert {tuple(r) for r in applier.index(pairs[1][0], "pid").read().select("pid", "cid").collect()} == {(1, 1), (9, 5)}
     assert fed and not {"line", "data", "event_id", "src_table", "event_ts"} & {c for columns in fed for c in columns}
     assert there and not any(there)
+    # current rows of the keys of a batch, where there are any
+    assert onto == [("pid", False, None), ("cid", False, None), ("pid", True, "is_retry"), ("cid", False, None)]
+
+
+def test_one_decision_for_all_is_no_join(spark):
+    same = spark.sql("select id `row:id`, 'INVALID' decision, array('FOREIGN_KEY:a') errors from range(5)")
+    assert st.ChangeApplier._said(same) == (("INVALID", ["FOREIGN_KEY:a"]), None)
+    assert st.ChangeApplier._said(same.limit(0)) == (("APPLY", []), None)
+    mixed = same.unionByName(spark.sql("select 7l `row:id`, 'APPLY' decision, cast(array() as array<string>) errors"))
+    usual, odd = st.ChangeApplier._said(mixed)
+    assert usual == ("INVALID", ["FOREIGN_KEY:a"]) and [tuple(r) for r in odd.collect()] == [(7, "APPLY", [])]
+
+
+def test_folders_are_written_without_a_sort(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 2).select("id", (F.col("id") % 3).alias("day"))
+    rows.write.partitionBy("day").parquet(str(tmp_path / "r"))
+    back = spark.read.parquet(str(tmp_path / "r"))
+    assert back.count() == 1000 and len(back.inputFiles()) == 6
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "8"
